@@ -171,5 +171,6 @@ def _applier(with_text: bool):
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Per document row: doc_id, n_lines, n_dropped, kept_sha256 and, if asked for, the kept text."""
     rows = source_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = rows.join(bitmaps.select("doc_id", "dropped"), "doc_id", "left").select("doc_id", "text", "dropped")
+    # one plan at every size: texts and bitmaps meet by a merge join, whether or not some bitmaps would fit a broadcast
+    rows = rows.join(bitmaps.select("doc_id", "dropped").hint("merge"), "doc_id", "left").select("doc_id", "text", "dropped")
     return rows.mapInArrow(_applier(with_text), APPLIED)

@@ -159,7 +159,7 @@ class WordTokenizer:
     space, as those that drop it; `check` compares a text encoded both ways.
     """
 
-    CACHE_WORDS = 1_500_000
+    CACHE_WORDS = 3_000_000
     apart = "a"
 
     def __init__(self, file: str):
@@ -225,9 +225,7 @@ class WordTokenizer:
             self.ids = np.concatenate([self.ids, ids])
             slots = len(self.first) - 1 + np.arange(len(new))
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
-            known = np.concatenate([self.known, uniq[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.slot = known[order], np.concatenate([self.slot, slots])[order]
+            self.known, self.slot = np.insert(self.known, at[new], uniq[new]), np.insert(self.slot, at[new], slots)
             at = np.searchsorted(self.known, uniq)
         slot = self.slot[at][inv]
         n = self.first[slot + 1] - self.first[slot]

@@ -1,13 +1,25 @@
 """Driver-facing queries and their oracles."""
 
+from __future__ import annotations
 
-def all_queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from trackloom.queries.registry import ORACLES, QUERIES, Query
 
-def all_oracles():
-    return {}
 
+def _load() -> None:
+    from trackloom.queries import ledger, reports, retrieval, tables, tracking  # noqa: F401
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+def all_queries() -> dict[str, Query]:
+    _load()
+    return dict(QUERIES)
+
+
+def all_oracles() -> dict[str, str]:
+    _load()
+    return dict(ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_queries()["possession_spells"](spark, sf_dir)

@@ -3,14 +3,18 @@ confirmation, and connected components by alternating large-star and small-star.
 
 Two documents are linked when the Jaccard similarity of their full shingle sets is at
 least the threshold. 200 minima in 40 bands of 5 miss a pair of similarity 0.8 with a
-probability of (1 - 0.8**5)**40 = 1.3e-7, and the signature filter (estimate of 0.6 or
-more) such a pair with about 1e-11. Every pair that passes is confirmed on its full sets.
+probability of (1 - 0.8**5)**40 = 1.3e-7, and the signature filter (estimate of 0.65
+or more) such a pair with about 1e-7. Every pair that passes is confirmed on its full sets.
 
 Size and skew. Documents with equal shingle sets are one node from the start. A bucket
-never yields its pairs: its members are first linked to its smallest member (a star).
-Once the first components are known, members of a bucket's commonest component need no
-pairs among themselves, so only members of *other* components are compared with the
-rest of the bucket. Confirmation streams members past their hub's set; hubs with many
+never yields its pairs: its members are first linked to its most connected member (a
+star), each document to the hub with which it shares most buckets, in two rounds. Once
+these components are known, buckets of one component are settled. The documents of the
+others are compared exactly: two sets can only be similar enough if they share a shingle
+among the rarest of both, early enough for the rest to suffice (prefix and position
+filters, which lose nothing under any order of shingles that is the same for all). Rarity
+comes from a fixed number of counters. Documents of a shingle's commonest component need
+no pairs among themselves, so only those of *other* components meet the rest. Confirmation streams members past their hub's set; hubs with many
 members are split over several tasks. No bucket, component or candidate list is capped.
 
 Edge cases: null or wordless texts have no shingles and are linked with nothing; a
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import LOWER, NOT_SPACE, Workspace, chunks, list_array, mix, source_columns, span_hashes, text_buffers, word_spans
 
 ROWS, BANDS = 5, 40
-ESTIMATE = 0.6
+ESTIMATE = 0.65
+#: Rounds in which bucket members are linked to a hub before what is left is compared pair by pair.
+STARS = 2
 #: Members of a hub that one task confirms.
 GROUP = 512
 
@@ -150,17 +156,70 @@ def _confirmer(size: int, num: int, den: int):
     return confirm
 
 
-def confirm_pairs(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int, work: Workspace, name: str) -> DataFrame:
-    """Of (hub, doc_id) pairs, those whose full sets are similar enough; docs: doc_id, text."""
+def confirm_pairs(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of (hub, doc_id) pairs, those whose full sets are similar enough; texts: doc_id, text."""
     count = pairs.groupBy("hub").agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / GROUP).cast("int"))
     salted = pairs.join(count, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "doc_id")
     hubs = count.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("doc_id"))
-    need = work.stage(salted.unionByName(hubs), f"need_{name}")
-    rows = need.join(docs, "doc_id").select("hub", "salt", "role", "doc_id", "text")
+    rows = salted.unionByName(hubs).join(texts, "doc_id").select("hub", "salt", "role", "doc_id", "text")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
     return rows.mapInArrow(_confirmer(size, num, den), "hub bigint, doc_id bigint")
 
 
+#: Counters that order shingles by rarity; few of them make the filter weaker, never wrong.
+COUNTERS = 1 << 21
+
+
+def _counter(size: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            data, off = text_buffers(batch.column(0))
+            for lo, hi in chunks(off):
+                sh, bounds = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
+                row = np.repeat(np.arange(hi - lo), np.diff(bounds))
+                order = np.lexsort((sh, row))
+                sh, row = sh[order], row[order]
+                new = np.ones(len(sh), bool)
+                new[1:] = (sh[1:] != sh[:-1]) | (row[1:] != row[:-1])
+                total += np.bincount((sh[new] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            own = at[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own])], names=["b", "n"])
+
+    return count
+
+
+TOKENS = "bucket bigint, doc_id bigint, place int, n_shingles int"
+
+
+def _prefixer(size: int, num: int, den: int, rarity):
+    """The shingles of each set's prefix, rarest first, with their places (from 0); those that no other set can hold are left out."""
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        count = rarity.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            data, off = text_buffers(batch.column(1))
+            for lo, hi in chunks(off):
+                sh, bounds = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for r in range(hi - lo):
+                    own = np.unique(sh[bounds[r] : bounds[r + 1]])
+                    c = count[(own % np.uint64(COUNTERS)).astype(np.int64)]
+                    order = np.argsort(c, kind="stable")[: len(own) - -(-num * len(own) // den) + 1]
+                    at = np.flatnonzero(c[order] > 1)
+                    for k, v in enumerate((own[order][at].view(np.int64), np.full(len(at), ids[lo + r]), at, np.full(len(at), len(own)))):
+                        out[k].append(v)
+                cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["bucket", "doc_id", "place", "n_shingles"])
+
+    return prefix
+
+
 def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with component the smallest node reachable: alternating large-star and small-star.
 
@@ -199,44 +258,76 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sk = work.stage(rows.mapInArrow(_sketcher(shingle_words), SKETCH), "sketch")
     reps = work.stage(sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
     own = sk.join(reps.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-    bucket = own.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    hubs = bucket.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("bucket", "hub")
-    members = work.stage(bucket.join(hubs, "bucket"), "members")
-    sigs = sk.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sig")
-    sigs = work.stage(sigs.dropDuplicates(["doc_id"]), "sigs", "none")
+    bucket = own.select("doc_id", F.explode("bands").alias("bucket"))
+    shared = bucket.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("bucket", "size")
+    members = work.stage(bucket.join(shared, "bucket"), "members")
+    degree = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    members = work.stage(members.join(degree, "doc_id").select("bucket", "doc_id", "degree"), "ranked")
+    found = members.select("doc_id").distinct()
+    sigs = work.stage(sk.join(found, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]), "sigs", "none")
+    # texts of documents that share a bucket, once; by a merge join at every size
+    texts = work.stage(rows.where("text is not null").join(found.hint("merge"), "doc_id", "left_semi"), "texts")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and signatures allow the similarity, with the estimate."""
+        """Pairs whose sizes and signatures allow the similarity."""
         x = pairs.join(sigs, "doc_id").join(sigs.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n_hub"), F.col("sig").alias("sig_hub")), "hub")
         x = x.where(den * F.least("n_shingles", "n_hub") >= num * F.greatest("n_shingles", "n_hub"))
-        return x.select("hub", "doc_id", "sig", "sig_hub").mapInArrow(_estimate, "hub bigint, doc_id bigint, est double").where(F.col("est") >= ESTIMATE)
-
-    star = members.where("doc_id <> hub").select("hub", "doc_id").distinct()
-    passed = work.stage(scored(star), "star")
-    first = work.stage(passed.groupBy("doc_id").agg(F.max_by("hub", F.struct("est", -F.col("hub"))).alias("hub")).select("hub", "doc_id"), "first")
-    texts = rows.where("text is not null")
-    found = work.stage(confirm_pairs(first, texts, shingle_words, num, den, work, "first"), "found_first")
-    comp = work.stage(components(found, work, "hub", "doc_id"), "comp_first")
-
-    # what is left: pairs of a bucket in different components
-    m = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    m = work.stage(m, "labelled")
-    share = m.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+        return x.select("hub", "doc_id", "sig", "sig_hub").mapInArrow(_estimate, "hub bigint, doc_id bigint, est double").where(F.col("est") >= ESTIMATE).select("hub", "doc_id")
+
+    def labelled(comp: DataFrame | None) -> DataFrame:
+        """Members of buckets that hold several components, with the commonest of them."""
+        c = F.col("doc_id") if comp is None else F.coalesce("component", "doc_id")
+        m = members if comp is None else members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        m = m.select("bucket", "doc_id", "degree", c.alias("c"))
+        share = m.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+        commonest = share.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.count("*").alias("k")).where("k > 1").select("bucket", "big")
+        return m.join(commonest, "bucket")
+
+    links: DataFrame | None = None
+    comp: DataFrame | None = None
+    tested: DataFrame | None = None
+    for k in range(STARS):
+        if comp is None:
+            open_rows = members.select("bucket", "doc_id", "degree", F.col("doc_id").alias("c"), F.lit(None).cast("long").alias("big"))
+        else:
+            open_rows = work.stage(labelled(comp), f"open_{k}")
+        rank = F.struct("degree", -F.col("doc_id"))
+        hubs = open_rows.where("big is null or c <> big").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "c"), rank).alias("h")).select("bucket", F.col("h.doc_id").alias("hub"), F.col("h.c").alias("ch"))
+        star = open_rows.join(hubs, "bucket").where("c <> ch").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
+        if tested is not None:
+            star = star.join(tested, ["hub", "doc_id"], "left_anti")
+        star = work.stage(star.groupBy("doc_id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "doc_id"), f"star_{k}")
+        tested = star if tested is None else tested.unionByName(star)
+        more = confirm_pairs(scored(star), texts, shingle_words, num, den)
+        links = work.stage(more if links is None else links.unionByName(more), f"links_{k}")
+        comp = components(links, Workspace(docs.sparkSession, "neardup"), "hub", "doc_id")
+
+    # what is left: documents of buckets that hold several components, compared exactly
+    unsettled = labelled(comp).select("doc_id").distinct()
+    rest = work.stage(texts.join(unsettled, "doc_id", "left_semi").select("doc_id", "text"), "rest")
+    seen = rest.select("text").mapInArrow(_counter(shingle_words), "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    rarity = np.zeros(COUNTERS, np.int64)
+    rarity[seen.column("b").to_numpy()] = seen.column("n").to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(np.minimum(rarity, 1 << 30).astype(np.int32))
+    tokens = work.stage(rest.mapInArrow(_prefixer(shingle_words, num, den, held), TOKENS), "tokens")
+    t = tokens.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    t = work.stage(t, "tokens_labelled")
+    share = t.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     commonest = share.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.count("*").alias("k")).where("k > 1").select("bucket", "big")
-    open_rows = work.stage(m.join(commonest, "bucket"), "open")
-    odd = open_rows.where("c <> big").select("bucket", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    cross = odd.join(open_rows.select("bucket", "doc_id", "c"), "bucket").where("cx <> c")
+    full = work.stage(t.join(commonest, "bucket"), "tokens_open")
+    odd = full.where("c <> big").select(F.col("bucket").alias("b2"), F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("place").alias("px"), F.col("n_shingles").alias("nx"))
+    # den * both >= num * (n + nx - both)
+    needed = F.ceil(num * (F.col("nx") + F.col("n_shingles")) / (den + num))
+    close = F.least(F.col("nx") - F.col("px"), F.col("n_shingles") - F.col("place")) >= needed
+    # of two odd rows each pair comes up twice: take it once
+    once = (F.col("c") == F.col("big")) | (F.col("x") < F.col("doc_id"))
+    cross = odd.join(full, (F.col("bucket") == F.col("b2")) & (F.col("cx") != F.col("c")) & close & once)
     cross = cross.select(F.least("x", "doc_id").alias("hub"), F.greatest("x", "doc_id").alias("doc_id")).distinct()
-    fresh = scored(cross.join(star, ["hub", "doc_id"], "left_anti")).select("hub", "doc_id")
-    c = comp.select(F.col("node"), "component")
-    again = passed.select("hub", "doc_id").join(first, ["hub", "doc_id"], "left_anti")
-    again = again.join(c.select(F.col("node").alias("hub"), F.col("component").alias("ch")), "hub", "left").join(c.select(F.col("node").alias("doc_id"), F.col("component").alias("cd")), "doc_id", "left")
-    again = again.where("coalesce(ch, hub) <> coalesce(cd, doc_id)").select("hub", "doc_id")
-    second = work.stage(fresh.unionByName(again).distinct(), "second")
-    more = work.stage(confirm_pairs(second, texts, shingle_words, num, den, work, "second"), "found_second")
-    joined = comp.select(F.col("node").alias("hub"), F.col("component").alias("doc_id")).unionByName(more)
+    both_ways = tested.select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id"))
+    more = confirm_pairs(scored(cross.join(both_ways, ["hub", "doc_id"], "left_anti")), texts, shingle_words, num, den)
+    joined = work.stage(comp.select(F.col("node").alias("hub"), F.col("component").alias("doc_id")).unionByName(more), "joined")
     final = components(joined, Workspace(docs.sparkSession, "neardup"), "hub", "doc_id")
-    work.drop("sigs", "members", "labelled", "open", "need_first", "need_second", "star", "first", "second", "found_first")
+    work.drop("sigs", "members", "ranked", "rest", "tokens", "tokens_labelled", "tokens_open", "texts", "joined", *[f"{n}_{k}" for n in ("open", "star", "links") for k in range(STARS)])
 
     rep = sk.select("doc_id", "set_key", "n_shingles").join(reps, "set_key", "left")
     out = rep.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")

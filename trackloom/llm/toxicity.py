@@ -203,7 +203,8 @@ def toxicity_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     cut = F.when(F.col("toxic") == 1, toxic_rows / max(size.get(1, 1), 1)).otherwise(ordinary_rows / max(size.get(0, 1), 1)) * (1 << 30)
     most = min(1.0, 2 * max_rows / max(sum(size.values()), 1)) * (1 << 30)
     lab = lab.select("doc_id", "toxic", calibrates.alias("cal"), F.when(calibrates, F.col("h") < most).otherwise(F.col("h") < cut).alias("use")).where("use")
-    train = work.stage(rows.join(lab, "doc_id").select("toxic", "text", "cal"), "train")
+    # the chosen ids are few by construction: some max_rows * 2.4 at most, two numbers and a flag each
+    train = work.stage(rows.join(F.broadcast(lab), "doc_id").select("toxic", "text", "cal"), "train")
 
     shared = rows.select("text").mapInArrow(_unigrams, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
     pairs = train.where("not cal").select("toxic", "text").mapInArrow(_pairs, "v int, w int, t bigint, o bigint")

@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages, each over all that its predecessor kept.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents.
+return the columns of documents. Decisions meet texts by merge joins at every size: a list
+of ids grows with the corpus and is never broadcast. Rows that repeat an id are decided
+together; null ids match no decision, so they go where a stage keeps by id.
 """
 
 from __future__ import annotations
@@ -17,26 +19,26 @@ from trackloom.llm.queries import table, tokenizer_file
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     kept = quality.quality_scores(docs).where("predicted = 1").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     kept = neardup.near_duplicates(docs, shingle_words=5, similarity=(80, 100)).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated by benchmark passages go."""
     spans = decontam.removal_spans(docs, table(spark, sf_dir, "benchmark"))
     gone = spans.where(decontam.contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    rows = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    rows = docs.join(copies.hint("merge"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return rows.select(docs.columns)
 
 

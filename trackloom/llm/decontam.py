@@ -14,7 +14,8 @@ each; a benchmark of one block, the usual case, needs no merge.
 
 Edge cases: null and empty texts have no words and are clean; items without words match
 nothing; items shorter than the window are one phrase; repeated items are all reported;
-rows that repeat a document id are judged one by one.
+rows that repeat a document id are judged one by one (with several benchmark blocks their spans
+meet again by id, and such rows become one).
 """
 
 from __future__ import annotations

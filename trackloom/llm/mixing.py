@@ -165,7 +165,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sent, first = sum(f.values()), (r["pattern"] or [None])[0]
         whole, rest = divmod(sent, r["size"]) if r["size"] else (0, 0)
         plan.append((r["pattern"], first, sizes.get(first, 0), float(target.get(first, 0.0)), int(whole), int(rest)))
-    plan_df = spark.createDataFrame(plan, "pattern array<string>, source string, source_size long, target double, whole long, rest long") if plan else spark.createDataFrame([], "pattern array<string>, source string, source_size long, target double, whole long, rest long")
+    plan_df = spark.createDataFrame(plan, "pattern array<string>, source string, source_size long, target double, whole long, rest long")
     plan_df = F.broadcast(plan_df)
 
     # how much of each bucket the rest takes: all below the cut, some of the one that holds it

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import LOWER, NOT_SPACE, Workspace, chunks, partitions, ragged, source_columns, span_hashes, text_buffers, word_spans
+from trackloom.llm.common import NOT_SPACE, Workspace, chunks, partitions, ragged, source_columns, span_hashes, text_buffers, word_spans
 
 MAGIC = b"TLS8B\x00\x00\x01"
 BLOCK = 256
@@ -160,7 +160,7 @@ class WordTokenizer:
     """
 
     CACHE_WORDS = 3_000_000
-    apart = "a"
+    apart = "a"  # stands in for words that hold a special token, which are encoded alone
 
     def __init__(self, file: str):
         import os
@@ -368,4 +368,4 @@ def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = 1, id_col:
     return read_token_shards(spark, path)
 
 
-__all__ = ["LOWER", "WordTokenizer", "decode", "encode", "export_shards", "read_token_shards", "token_output", "write_token_shards"]
+__all__ = ["WordTokenizer", "decode", "encode", "export_shards", "read_token_shards", "token_output", "write_token_shards"]

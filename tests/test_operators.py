@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,41 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     dets = spark.createDataFrame([(1, f, f * 10 + k, 10.0 * k * 20 + f, 0.0, 20.0, 40.0, 0.9) for f in range(1, 5) for k in range(2)], "match_id int, frame long, det long, bx double, by double, bw double, bh double, score double")
     got = rows(stream(spark, tmp_path, "tracks", dets, online.track), "frame", "det", "track_id")
     assert got == rows(online.track_batch(dets), "frame", "det", "track_id") and {t for _, _, t in got} == {1, 2}
+
+
+def test_link_chains_against_brute_force():
+    from itertools import permutations
+
+    from trackloom.operators.identity import chain_roots
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        pairs = [(a, b, float(rng.integers(1, 100))) for a in range(5) for b in range(a + 1, 6) if rng.random() < 0.5]
+        if not pairs:
+            continue
+        cost = {(a, b): c for a, b, c in pairs}
+        best = min((-sum((a, b) in cost for a, b in enumerate(p)), sum(cost.get((a, b), 0) for a, b in enumerate(p))) for p in permutations(range(1, 11), 5))
+        roots = dict(chain_roots(pairs))
+        assert len(roots) == -best[0] and all(roots[t] < t and roots[t] not in roots for t in roots)
+
+
+def test_links_at_the_edges_of_a_bucket(spark):
+    from trackloom.operators import identity
+
+    rows = [(1, 1, 0, 399, 0.0, 0.0, 0.0, 0.0), (1, 2, 799, 900, 0.0, 3.0, 0.0, 0.0), (1, 3, 800, 900, 0.0, 0.0, 0.0, 0.0), (1, 4, 399, 500, 0.0, 0.0, 0.0, 0.0)]
+    t = spark.createDataFrame(rows, "m int, track_id long, start long, end long, x0 double, y0 double, x1 double, y1 double")
+    assert [(r.a, r.b, r.cost) for r in identity.link_candidates(t, ["m"]).orderBy("a", "b").collect()] == [(1, 2, 3.0), (4, 2, 3.0), (4, 3, 0.0)]
+    assert {r.track_id: r.root for r in identity.linked_tracks(t, ["m"]).collect()} == {1: 1, 2: 1, 3: 4, 4: 4}
+    assert identity.linked_tracks(t.limit(0), ["m"]).count() == 0
+
+
+def test_exclusive_quantiles_are_those_of_the_statistics_module(spark):
+    import statistics
+
+    from trackloom.operators.identity import exclusive_quantiles
+
+    for v in ([3, 1, 2, 2, 9], [5, 7], list(range(40)), [4] * 7):
+        df = spark.createDataFrame([(1, x) for x in v] + [(1, None), (2, 8)], "g int, v int")
+        got = {r.g: r for r in exclusive_quantiles(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 0.9}).collect()}
+        want = statistics.quantiles(v, n=10)
+        assert np.allclose([got[1].a, got[1].b, got[1].c], [want[0], want[4], want[8]]) and got[1].n == len(v) and got[2].b == 8

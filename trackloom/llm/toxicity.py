@@ -6,7 +6,7 @@ alike to both. A document's score is a calibrated function of the difference of
 length-normalised log-likelihoods.
 
 Words are hashed into `WORD_BUCKETS` and word pairs into `PAIR_BUCKETS`, so what reaches
-the driver and the tasks is bounded however large the corpus is: some 40 MB. Labelled rows
+the driver and the tasks is bounded however large the corpus is: some 60 MB. Labelled rows
 are bounded by `max_rows` a class (by hash order) and ordinary ones by ORDINARY for each
 toxic one. A fifth of the training rows calibrates and is not
 counted. labels, lang, source and doc_id are never inputs of a score.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import LOWER, WORDLIKE, Workspace, chunks, mix, source_columns, span_hashes, text_buffers, word_spans
 
-WORD_BUCKETS = 1 << 19
+WORD_BUCKETS = 1 << 21
 PAIR_BUCKETS = 1 << 21
 #: Discounts of counts 1, 2 and more: what was seen once or twice weighs no more than the shared backoff says.
 DISCOUNTS = (1.0, 2.0, 2.0)
@@ -58,7 +58,7 @@ def _before(w: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def pair_bucket(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (mix((v.astype(np.uint64) << np.uint64(20)) + w.astype(np.uint64)) >> np.uint64(64 - 21)).astype(np.int64)
+    return (mix((v.astype(np.uint64) << np.uint64(21)) + w.astype(np.uint64)) >> np.uint64(64 - 21)).astype(np.int64)
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,9 @@ class Models:
     before it) and backs off to the shared counts: BACKOFF distinct words' worth for a word
     that all documents hold RARE times or more, less for a rarer one, in proportion to the
     class's size. A word that neither class knows thus has a ratio of 1. Word pairs, less
-    their discounts, are interpolated with the words' probabilities.
+    their discounts, are interpolated with the words' probabilities, under one backoff weight
+    per context for both classes: from the class that knows the context less. A pair that
+    neither class knows thus has the ratio of its word, however large the sample is.
     shared: counts of words in all documents; follows: distinct words before each word;
     kept: what the pairs of a context keep after discounting; pair: counts of pairs.
     """
@@ -110,12 +112,12 @@ class Models:
         size = total / total.min()
         self.word = ((follows + size[:, None] * back) / total[:, None]).astype(np.float32)
         self.pair, self.kept = discounted(pair).astype(np.float32), kept.astype(np.float32)
-        self.weight = (PAIR_BACKOFF * size).astype(np.float32)
+        self.backoff = (PAIR_BACKOFF / (PAIR_BACKOFF + (kept / size[:, None]).min(0))).astype(np.float32)
 
     def log_ratio(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Evidence for toxic at each word: the log-ratio beyond MARGIN, else 0."""
         b = pair_bucket(v, w)
-        p = [(self.pair[c][b] + self.weight[c] * self.word[c][w]) / (self.kept[c][v] + self.weight[c]) for c in range(2)]
+        p = [(1 - self.backoff[v]) * self.pair[c][b] / np.maximum(self.kept[c][v], 1) + self.backoff[v] * self.word[c][w] for c in range(2)]
         return np.maximum(np.log(p[1]) - np.log(p[0]) - MARGIN, 0)
 
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -187,3 +187,35 @@ def test_exclusive_quantiles_are_those_of_the_statistics_module(spark):
         got = {r.g: r for r in exclusive_quantiles(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 0.9}).collect()}
         want = statistics.quantiles(v, n=10)
         assert np.allclose([got[1].a, got[1].b, got[1].c], [want[0], want[4], want[8]]) and got[1].n == len(v) and got[2].b == 8
+
+
+@pytest.mark.parametrize("block_rows", [8192, 70])
+def test_reciprocal_reranking_of_all_rows_equals_brute_force(spark, monkeypatch, block_rows):
+    from trackloom.operators import retrieval as V
+    from trackloom.queries import retrieval as Q
+
+    r = np.random.default_rng(5)
+    label = np.arange(220) % 11
+    vec = r.normal(size=(11, 8))[label] + 0.6 * r.normal(size=(220, 8))
+    g = spark.createDataFrame([(i, int(label[i]), vec[i].tolist()) for i in range(220)], "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(Q, "table", lambda *_: g)
+    monkeypatch.setattr(V.neighbour_table, "__defaults__", (block_rows,))
+    got = {(x["query"], x["id"]): (x["match"], x["final"]) for x in Q.reciprocal_rerank(spark, "").collect()}
+    u = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    dist = np.round(1 - u @ u.T, 9)
+    np.fill_diagonal(dist, 0)
+    d = (dist / dist.max(1, keepdims=True)) ** 2
+    rank = np.argsort(dist, axis=1, kind="stable")
+    mutual = lambda i, k: {int(j) for j in rank[i, : k + 1] if i in rank[j, : k + 1]}
+    v, grown = np.zeros_like(d), 0
+    for i in range(220):
+        own = mutual(i, 20)
+        e = set(own).union(*(h for j in own if len((h := mutual(j, 10)) & own) > 2 / 3 * len(h)))
+        grown += len(e) > len(own)
+        v[i, list(e)] = np.exp(-d[i, list(e)])
+        v[i] /= v[i].sum()
+    v = np.stack([v[rank[i, :6]].mean(0) for i in range(220)])
+    assert grown and set(got) == {(q, i) for q in range(0, 220, 50) for i in range(220) if i != q}
+    for (q, i), (match, final) in got.items():
+        s = np.minimum(v[q], v[i]).sum()
+        assert match == (label[q] == label[i]) and abs(final - (0.7 * (1 - s / (2 - s)) + 0.3 * d[q, i])) < 1e-7

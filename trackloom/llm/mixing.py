@@ -53,23 +53,9 @@ def capped_targets(sizes: Mapping[str | None, int], weights: Mapping[str | None,
 
 
 def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], repeats: int) -> list[dict[int, int]]:
-    """Flow of each pattern to its sources: successive shortest paths with potentials.
-
-    Patterns of one source are routed outright when no other pattern competes for it; the
-    network proper is as large as the overlaps are.
-    """
+    """Flow of each pattern to its sources: successive shortest paths with potentials."""
     flow: list[dict[int, int]] = [{} for _ in capacity]
-    rivals = [0] * len(quota)
-    for m in members:
-        for s in m:
-            rivals[s] += 1
-    left = list(quota)
-    for p, m in enumerate(members):
-        if len(m) == 1 and rivals[m[0]] == 1:
-            f = min(left[m[0]], repeats * capacity[p])
-            flow[p][m[0]] = f
-            left[m[0]] -= f
-    rest = [p for p, m in enumerate(members) if not (len(m) == 1 and rivals[m[0]] == 1) and capacity[p] > 0]
+    rest = [p for p, c in enumerate(capacity) if c > 0]
     n_p, n_s = len(rest), len(quota)
     src, sink = n_p + n_s, n_p + n_s + 1
     graph: list[list[int]] = [[] for _ in range(n_p + n_s + 2)]
@@ -90,8 +76,8 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int
             sends.append((p, s, len(to)))
             arc(i, n_p + s, repeats * capacity[p], 0)
     for s in range(n_s):
-        if left[s] > 0:
-            arc(n_p + s, sink, left[s], 0)
+        if quota[s] > 0:
+            arc(n_p + s, sink, quota[s], 0)
     potential = [0] * len(graph)
     while n_p:
         dist: list[float] = [float("inf")] * len(graph)

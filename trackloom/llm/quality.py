@@ -4,12 +4,12 @@ Overlapping heuristic labellers fire or stay silent on every document; firing sa
 ordinary.
 Expectation-maximisation over the counts of vote patterns (all documents, at most
 2**LABELLERS patterns) estimates each labeller's accuracy and the posterior of each
-pattern. The posteriors label a bounded sample (`fit_rows`, by hash of the text) that a
-hashed linear scorer is fitted on; the scorer then scores every whole text.
+pattern. The posteriors label a bounded sample (`fit_rows` distinct rows of id and text, by
+hash) that a hashed linear scorer is fitted on; the scorer then scores every whole text.
 
 No labelled rows are used; `labels` serves tests only. Texts of fewer than MIN_WORDS words
 (null and empty ones too) say nothing about labellers: they are a pattern of their own, with
-the prior as its posterior. An empty table gives an empty result.
+the prior as its posterior, and nothing is fitted on them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import LOWER, NOT_SPACE, Workspace, chunks, list_array, mix, source_columns, span_hashes, text_buffers, word_spans
+from trackloom.llm.common import LOWER, NOT_SPACE, Workspace, chunks, list_array, mix, partitions, source_columns, span_hashes, text_buffers, word_spans
+from trackloom.llm.mixing import word_count
 
 #: (name, fires from, what firing says: 0 junk, 1 ordinary). Rates are shares of words, letters, trigrams or lines.
 LABELLERS = [("symbol_words", 0.10, 0), ("upper_letters", 0.25, 0), ("repeated_neighbours", 0.15, 0), ("repeated_trigrams", 0.30, 0), ("shouted_words", 0.05, 0), ("bar_words", 0.05, 0), ("repeated_lines", 0.60, 0), ("long_words", 0.20, 0), ("plain_words", 0.90, 1), ("sentence_ends", 0.035, 1), ("small_letters", 0.90, 1)]
@@ -254,18 +255,22 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document: doc_id, n_words, pattern, posterior and score (that it is ordinary text, 0 to 1), predicted (1: keep;
     texts of fewer than MIN_WORDS words, about which nothing is known, are kept).
 
-    fit_rows bounds the sample that the linear scorer is fitted on; the vote counts behind
-    its labels cover all documents.
+    fit_rows bounds the sample that the linear scorer is fitted on: distinct rows of id and
+    text with MIN_WORDS words or more. The vote counts behind its labels cover all documents.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "quality")
     rows = source_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    counts = work.stage(rows.mapInArrow(_label, PATTERN).groupBy("pattern").agg(F.count("*").alias("n")), "patterns").orderBy("pattern").collect()
+    hashed = rows.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    per_pattern = hashed.mapInArrow(_label, PATTERN).groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("distinct"))
+    counts = work.stage(per_pattern, "patterns").orderBy("pattern").collect()
     ids, n = np.array([r["pattern"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.float64)
     post, _, _ = expectation_maximisation(ids, n)
     by_pattern = {int(k): float(p) for k, p in zip(ids, post, strict=True)}
-    share = min(1.0, fit_rows / max(n.sum(), 1.0))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # the cut leaves room for the error of the distinct count; the ordered limit is the bound
+    share = min(1.0, 1.5 * fit_rows / max(sum(r["distinct"] for r in counts if r["pattern"] != SHORT), 1))
+    chosen = hashed.where(F.pmod("doc_id", F.lit(1 << 40)) < int(share * (1 << 40))).where(word_count(F.col("text")) >= MIN_WORDS)
+    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.pmod("doc_id", F.lit(1 << 40)), "doc_id").limit(fit_rows).repartition(partitions(spark))
     fit = chosen.mapInArrow(_sample, SAMPLE).toArrow().combine_chunks() if len(ids) else None
     if fit is None or not fit.num_rows:
         model = np.zeros(FEATURES + 1)

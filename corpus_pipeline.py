@@ -2,44 +2,65 @@
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Decisions meet texts by merge joins at every size: a list
-of ids grows with the corpus and is never broadcast. Rows that repeat an id are decided
-together; null ids match no decision, so they go where a stage keeps by id.
+of keys grows with the corpus and is never broadcast. Decisions are carried by a 64-bit hash
+of the whole row, so rows that repeat an id or have none are decided one by one; rows of one key
+are equal in all columns and can stand for each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm import decontam, mixing, neardup, quality, tokens
 from trackloom.llm.common import Workspace
 from trackloom.llm.queries import table, tokenizer_file
 
+KEY = "row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a hash of all columns; nulls are told apart by their place, as hashes skip them."""
+    return docs.withColumn(KEY, F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """One row of each key."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(KEY).orderBy(F.lit(0)))).where("rank = 1").drop("rank")
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    kept = quality.quality_scores(docs).where("predicted = 1").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    rows = keyed(docs)
+    kept = quality.quality_scores(rows, id_col=KEY).where("predicted = 1").select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(kept.hint("merge"), KEY, "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    kept = neardup.near_duplicates(docs, shingle_words=5, similarity=(80, 100)).where("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near-duplicates stays: that of the smallest id, null last. Texts without words are in no group."""
+    worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    rows = keyed(docs.where(worded))
+    found = neardup.near_duplicates(rows, id_col=KEY, shingle_words=5, similarity=(80, 100)).select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    ids = rows.select(KEY, "doc_id").distinct()
+    first = F.min_by(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias(KEY)
+    kept = found.join(ids.hint("merge"), KEY).groupBy("component_id").agg(first).select(KEY)
+    return once(rows).join(kept.hint("merge"), KEY, "left_semi").select(docs.columns).unionByName(docs.where(~worded))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated by benchmark passages go."""
-    spans = decontam.removal_spans(docs, table(spark, sf_dir, "benchmark"))
-    gone = spans.where(decontam.contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    spans = decontam.removal_spans(rows, table(spark, sf_dir, "benchmark"), id_col=KEY)
+    gone = spans.where(decontam.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(gone.hint("merge"), KEY, "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    rows = docs.join(copies.hint("merge"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return rows.select(docs.columns)
+    rows = keyed(docs)
+    copies = mixing.mix_sources(rows, id_col=KEY).where("copies > 0").groupBy(F.col("doc_id").alias(KEY)).agg(F.sum("copies").alias("copies"))
+    taken = once(rows).join(copies.hint("merge"), KEY).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return taken.select(docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

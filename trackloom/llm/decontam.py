@@ -9,13 +9,12 @@ spans are merged per document.
 A word that no phrase holds cannot be part of an occurrence. Such words end a piece, and
 pieces shorter than the shortest phrase are left out of the index; everything else is
 indexed, and nothing is sampled or capped. There is no shuffle: a document is decided where
-it is read. Benchmark items come in blocks of bounded size, one pass over the documents
-each; a benchmark of one block, the usual case, needs no merge.
+it is read. Benchmark items come in blocks of bounded size; each batch of documents is
+searched for the blocks one after another, and their spans are merged in place.
 
 Edge cases: null and empty texts have no words and are clean; items without words match
 nothing; items shorter than the window are one phrase; repeated items are all reported;
-rows that repeat a document id are judged one by one (with several benchmark blocks their spans
-meet again by id, and such rows become one).
+rows that repeat a document id, or have none, are judged one by one at every benchmark size.
 """
 
 from __future__ import annotations
@@ -199,13 +198,24 @@ OUT = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, span_st
 def _searcher(phrases):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        own: Phrases = phrases.value
         for batch in batches:
             data, off = text_buffers(batch.column(1))
+            shards = []
             for lo, hi in chunks(off, SHARD_BYTES):
                 d, o = LOWER[data[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo]
                 starts, ends, first = word_spans(d, o, WORDLIKE)
-                hit, pairs = own.find(span_hashes(d, starts, ends), first)
+                shards.append((lo, hi, span_hashes(d, starts, ends), first, np.zeros(len(starts), bool), [set() for _ in range(hi - lo)]))
+            for block in phrases:
+                own: Phrases = block.value
+                for _, _, h, first, hit, names in shards:
+                    more, pairs = own.find(h, first)
+                    np.logical_or(hit, more, out=hit)
+                    for r, i in pairs.tolist():
+                        names[r].add(own.names[i])
+                if len(phrases) > 1:  # a task holds one block at a time
+                    del own
+                    vars(block).pop("_value", None)
+            for lo, hi, _, first, hit, names in shards:
                 n = hi - lo
                 row = np.repeat(np.arange(n), np.diff(first))
                 per_row = np.bincount(row[hit], minlength=n)
@@ -215,9 +225,7 @@ def _searcher(phrases):
                 stop[:-1] = edge[1:]
                 a, b = np.flatnonzero(hit & edge), np.flatnonzero(hit & stop)
                 spans = np.bincount(row[a], minlength=n)
-                items: list[list[str]] = [[] for _ in range(n)]
-                for r, i in pairs.tolist():
-                    items[r].append(own.names[i])
+                items = [sorted(x) for x in names]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, n), pa.array(np.diff(first)), pa.array(per_row, pa.int64()), pa.array(items, pa.list_(pa.string())), list_array(a - first[row[a]], spans, pa.int64()), list_array(b + 1 - first[row[b]], spans, pa.int64())],
                     names=["doc_id", "n_words", "n_hit", "items", "span_start", "span_end"],
@@ -242,34 +250,11 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = source_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     bench = source_columns(benchmark, item_id=item_id_col, text=item_text_col).withColumn("item_id", F.col("item_id").cast("string")).orderBy("item_id", "text")
-    parts = [rows.mapInArrow(_searcher(spark.sparkContext.broadcast(Phrases(b, window))), OUT) for b in _blocks(bench)]
-    if len(parts) == 1:
-        out = parts[0]
-    else:
-        from functools import reduce
-
-        # each block's result is small; ids of rows with spans meet, other rows need no merge
-        cols = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, span_start array<bigint>, span_end array<bigint>"
-        out = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("span_start")).alias("span_start"), F.flatten(F.collect_list("span_end")).alias("span_end")).mapInArrow(_merge, cols)
+    blocks = [spark.sparkContext.broadcast(Phrases(b, window)) for b in _blocks(bench)]
+    out = rows.mapInArrow(_searcher(blocks), OUT)
     return out.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for d, n, items, a, b in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-            spans: list[list[int]] = []
-            for x, y in sorted(zip(a, b, strict=True)):
-                if spans and x <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], y)
-                else:
-                    spans.append([x, y])
-            rows.append((d, n, sum(y - x for x, y in spans), items, [x for x, _ in spans], [y for _, y in spans]))
-        if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "items", "span_start", "span_end"])
-
-
 def contaminated(n_hit, n_words):
     """At least a twentieth of the words are hit."""
     return (n_hit > 0) & (20 * n_hit >= n_words)

@@ -34,7 +34,7 @@ ADDRESS = r"\d{1,3}(?:\.\d{1,3}){3}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 CARD = r"\d(?:[ -]?\d){12,18}"
-HEX = r"[0-9a-f]{32,64}"
+HEX = r"(?i:[0-9a-f]{32,64})"
 #: The first format that matches at a place wins.
 ANY = rf"(?<!\w)(?<!\d[.-])(?:{EMAIL}|(?:{HEX}|{DATE}|{SSN}|{CARD}|{PHONE})(?!\w|[.-]\d)|{ADDRESS}(?!\w|\.\d))"
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
@@ -112,7 +112,28 @@ def card(v: Column, key: str) -> Column:
         head = F.concat(first, permute_digits(F.substring(x, F.lit(2), n - 2), key, F.concat(F.lit("card"), first, kept.cast("string"))))
         return _let(head, lambda h: F.concat(h, F.pmod(check_digit(h) + kept, F.lit(10)).cast("string")))
 
-    return _let(_digits(v), lambda x: refill(v, swap(x)))
+    return _let(card_end(v), lambda p: F.concat(_let(F.substring(v, F.lit(1), p), lambda c: _let(_digits(c), lambda x: refill(c, swap(x)))), F.substring(v, p + 1, F.length(v))))
+
+
+def card_end(v: Column) -> Column:
+    """Where the card ends in a run of digits: the longest prefix of whole groups that passes the check digit, else the first group if it is long enough, else the run."""
+    n = F.length(v)
+    passes = lambda x: check_digit(F.substring(x, F.lit(1), F.length(x) - 1)) == F.substring(x, F.length(x), F.lit(1)).cast("int")
+    whole = lambda p: (p == n) | F.substring(v, p + 1, F.lit(1)).isin(" ", "-")
+    ends = F.filter(F.sequence(F.lit(13), n), lambda p: whole(p) & (F.length(_digits(F.substring(v, F.lit(1), p))) >= 13))
+    good = F.filter(ends, lambda p: _let(_digits(F.substring(v, F.lit(1), p)), passes))
+    first = F.length(F.regexp_extract(v, r"^\d+", 0))
+    return F.coalesce(F.array_max(good), F.when(first >= 13, first), n)
+
+
+def hexadecimal(v: Column, key: str) -> Column:
+    """The same secret in either case gets the same pseudonym, in the case it was found in."""
+
+    def written(p: Column) -> Column:
+        mixed = F.array_join(F.zip_with(F.split(v, ""), F.split(p, ""), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(b)), "")
+        return F.when(v == F.lower(v), p).when(v == F.upper(v), F.upper(p)).otherwise(mixed)
+
+    return _let(letters(F.lower(v), key, "hex", ("0123456789abcdef",)), written)
 
 
 def phone(v: Column, key: str) -> Column:
@@ -221,7 +242,7 @@ def pseudonym(v: Column, key: str) -> Column:
     def by_kind(k: Column) -> Column:
         name = F.substring_index(v, "@", 1)
         email = F.concat(letters(name, key, "email", ALPHABETS), F.substring(v, F.length(name) + 1, F.length(v)))
-        return F.when(k == "email", email).when(k == "hex", letters(v, key, "hex", ("0123456789abcdef",))).when(k == "date", date(v, key)).when(k == "ssn", ssn(v, key)).when(k == "address", address(v, key)).when(k == "phone", phone(v, key)).otherwise(card(v, key))
+        return F.when(k == "email", email).when(k == "hex", hexadecimal(v, key)).when(k == "date", date(v, key)).when(k == "ssn", ssn(v, key)).when(k == "address", address(v, key)).when(k == "phone", phone(v, key)).otherwise(card(v, key))
 
     return _let(kind_of(v), by_kind)
 

@@ -1,18 +1,31 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models.
-
-Two models, toxic and ordinary, are counted from labelled training rows; both back off to
-the same unigram distribution, counted over all documents, so that rare expressions look
-alike to both. A document's score is a calibrated function of the difference of its two
-length-normalised log-likelihoods.
-
-Words are hashed into `WORD_BUCKETS` and word pairs into `PAIR_BUCKETS`, so what reaches
-the driver and the tasks is bounded however large the corpus is: some 60 MB. Labelled rows
-are bounded by `max_rows` a class (by hash order) and ordinary ones by ORDINARY for each
-toxic one. A fifth of the training rows calibrates and is not
-counted. labels, lang, source and doc_id are never inputs of a score.
-
-Null and empty texts have no words and get the prior; repeated rows get equal scores; with
-no labelled rows of a class every score is the prior.
+"""Toxicity by class-conditional Kneser-Ney models.
+
+Two models, toxic and ordinary, are counted from labelled training rows. A word's count in a
+class is its continuation count, the number of distinct words it follows there, less a
+discount that is estimated from the class's own counts of counts (modified Kneser-Ney). The
+mass that the discounts take, and no more, goes to one distribution that both classes share:
+the relative frequencies of words in all documents, counted without a cap. Each model thus
+sums to 1 over the words of the corpus, and an expression that a class has not seen has the
+same shape in both.
+
+A document's score is a calibrated, monotone function of the difference of its two
+length-normalised log-likelihoods. Before they are averaged, the words' log-ratios are moved
+towards 0 by a margin, on both sides alike: what is below it is chance at the size of a
+labelled sample. The margin (0 is among the choices) is the one that ranks the calibration
+rows best; a fifth of the training rows calibrates and is not counted. labels, lang, source
+and doc_id are never inputs of a score.
+
+Sizes. The table of shared counts grows with the vocabulary and stays in the shared folder;
+only the words of the labelled sample are looked up in it. That sample is bounded by
+`max_rows` rows and `max_bytes` bytes of text a class, and by `ordinary_per_toxic`; its
+words with evidence beyond the margin are what is broadcast.
+
+Edge cases: null and empty texts have no words and get the score of no evidence; rows that
+repeat an id are scored one by one, and equal texts get equal scores; labels of a null id and
+null labels are ignored, an id labelled both ways is toxic; with no labelled rows of a class
+every score is the prior; very long texts are scored whole, in pieces of bounded memory;
+other columns of the table are never read, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -24,214 +37,237 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import LOWER, WORDLIKE, Workspace, chunks, mix, source_columns, span_hashes, text_buffers, word_spans
+from trackloom.llm.common import LOWER, WORDLIKE, Workspace, chunks, source_columns, span_hashes, text_buffers, word_spans
 
-WORD_BUCKETS = 1 << 21
-PAIR_BUCKETS = 1 << 21
-#: Discounts of counts 1, 2 and more: what was seen once or twice weighs no more than the shared backoff says.
-DISCOUNTS = (1.0, 2.0, 2.0)
-#: Ordinary rows counted for each toxic one, at most.
-ORDINARY = 6
-#: Strength of the words' backoff to the shared counts, and of the pairs' to the words.
-BACKOFF, PAIR_BACKOFF = 0.5, 500.0
-#: Log-ratios up to this are chance at the size of a labelled sample, and count as none.
-MARGIN = 1.5
-#: Counts above this say no more about how rare a word is.
-RARE = 3
-BEGIN = 0
+BEGIN = np.uint64(0)
+#: Margins that are tried.
+MARGINS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
+#: Distinct words that a task counts before it hands them on.
+HELD_WORDS = 1 << 21
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word buckets, first word of each row and the end); bucket 0 stands for a row's beginning."""
+    """(word hashes, first word of each row and the end)."""
     d = LOWER[data]
     starts, ends, first = word_spans(d, off, WORDLIKE)
-    h = span_hashes(d, starts, ends)
-    return ((h >> np.uint64(20)) % np.uint64(WORD_BUCKETS - 1)).astype(np.int64) + 1, first
+    return span_hashes(d, starts, ends), first
 
 
-def _before(w: np.ndarray, first: np.ndarray) -> np.ndarray:
-    v = np.empty_like(w)
-    v[1:] = w[:-1]
-    inside = first[:-1]
-    v[inside[inside < len(w)]] = BEGIN
-    return v
+def _merged(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    w, back = np.unique(np.concatenate(words), return_inverse=True)
+    return w, np.bincount(back, np.concatenate(counts), len(w)).astype(np.int64)
 
 
-def pair_bucket(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (mix((v.astype(np.uint64) << np.uint64(21)) + w.astype(np.uint64)) >> np.uint64(64 - 21)).astype(np.int64)
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, how often) of a task's texts."""
+    np.seterr(over="ignore")
+    words: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
 
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        w, n = _merged(words, counts)
+        for k in range(0, len(w), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(w[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], names=["w", "n"])
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    np.seterr(over="ignore")
-    count = np.zeros(WORD_BUCKETS, np.int64)
     for batch in batches:
         data, off = text_buffers(batch.column(0))
         for lo, hi in chunks(off):
-            w, _ = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            count += np.bincount(w, minlength=WORD_BUCKETS)
-    at = np.flatnonzero(count)
-    for k in range(0, len(at), 1 << 16):
-        own = at[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(count[own])], names=["w", "n"])
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h, _ = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            w, n = np.unique(h, return_counts=True)
+            words.append(w)
+            counts.append(n)
+            if sum(map(len, words)) > 2 * HELD_WORDS:
+                w, n = _merged(words, counts)
+                words[:], counts[:] = [w], [n]
+                if len(w) > HELD_WORDS:
+                    yield from hand_on()
+                    words.clear()
+                    counts.clear()
+    if words:
+        yield from hand_on()
+
+
+def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (class, word before, word) of a chunk of labelled texts."""
     np.seterr(over="ignore")
     for batch in batches:
         data, off = text_buffers(batch.column(1))
         toxic = batch.column(0).to_numpy()
         for lo, hi in chunks(off, 1 << 22):
             w, first = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            key = _before(w, first) * WORD_BUCKETS + w
-            is_toxic = np.repeat(toxic[lo:hi], np.diff(first)) == 1
-            uniq, inv = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(uniq // WORD_BUCKETS, pa.int32()), pa.array(uniq % WORD_BUCKETS, pa.int32()), pa.array(np.bincount(inv[is_toxic], minlength=len(uniq))), pa.array(np.bincount(inv[~is_toxic], minlength=len(uniq)))], names=["v", "w", "t", "o"])
+            v = np.empty_like(w)
+            v[1:] = w[:-1]
+            begins = first[:-1][np.diff(first) > 0]
+            v[begins] = BEGIN
+            rows = np.empty(len(w), [("c", np.int32), ("v", np.uint64), ("w", np.uint64)])
+            rows["c"], rows["v"], rows["w"] = np.repeat(toxic[lo:hi], np.diff(first)), v, w
+            rows = np.unique(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["c"])), pa.array(np.ascontiguousarray(rows["v"]).view(np.int64)), pa.array(np.ascontiguousarray(rows["w"]).view(np.int64))], names=["toxic", "v", "w"])
 
 
-def discounted(n: np.ndarray) -> np.ndarray:
-    return np.where(n >= 3, n - DISCOUNTS[2], np.maximum(n - np.where(n == 2, DISCOUNTS[1], DISCOUNTS[0]), 0))
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What counts of 0, 1, 2 and more lose, from the counts of counts."""
+    n1, n2, n3, n4 = (max(int((n == k).sum()), 1) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    return np.array([0.0, *(min(max(k - (k + 1) * y * b / a, 0.1), k - 0.1) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
 
 class Models:
-    """Both classes' smoothed probabilities; all arrays are of fixed size.
-
-    A word's probability in a class comes from its continuation count (the distinct words
-    before it) and backs off to the shared counts: BACKOFF distinct words' worth for a word
-    that all documents hold RARE times or more, less for a rarer one, in proportion to the
-    class's size. A word that neither class knows thus has a ratio of 1. Word pairs, less
-    their discounts, are interpolated with the words' probabilities, under one backoff weight
-    per context for both classes: from the class that knows the context less. A pair that
-    neither class knows thus has the ratio of its word, however large the sample is.
-    shared: counts of words in all documents; follows: distinct words before each word;
-    kept: what the pairs of a context keep after discounting; pair: counts of pairs.
+    """Both classes' probabilities of the words of the labelled sample.
+
+    words: hashes; follows: continuation counts [class, word]; shared: counts in all
+    documents; total: words of all documents.
     """
 
-    def __init__(self, shared: np.ndarray, follows: np.ndarray, kept: np.ndarray, pair: np.ndarray):
-        back = np.maximum(np.minimum(shared, RARE), 1) / RARE * BACKOFF
-        total = np.maximum(follows.sum(1), 1.0)
-        size = total / total.min()
-        self.word = ((follows + size[:, None] * back) / total[:, None]).astype(np.float32)
-        self.pair, self.kept = discounted(pair).astype(np.float32), kept.astype(np.float32)
-        self.backoff = (PAIR_BACKOFF / (PAIR_BACKOFF + (kept / size[:, None]).min(0))).astype(np.float32)
-
-    def log_ratio(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Evidence for toxic at each word: the log-ratio beyond MARGIN, else 0."""
-        b = pair_bucket(v, w)
-        p = [(1 - self.backoff[v]) * self.pair[c][b] / np.maximum(self.kept[c][v], 1) + self.backoff[v] * self.word[c][w] for c in range(2)]
-        return np.maximum(np.log(p[1]) - np.log(p[0]) - MARGIN, 0)
-
-    def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Per row: the difference of length-normalised log-likelihoods, the same in units of its spread, and the logarithm of the whole."""
-        w, first = words_of(data, off)
-        ratio = self.log_ratio(_before(w, first), w) if len(w) else np.zeros(0)
-        total = np.zeros(len(ratio) + 1)
-        np.cumsum(ratio, out=total[1:])
-        n = np.diff(first)
-        s = total[first[1:]] - total[first[:-1]]
-        return np.stack([np.clip(s / np.maximum(n, 1), -2, 2), np.clip(s / np.sqrt(np.maximum(n, 1)), -20, 20), np.log1p(s)], 1)
+    def __init__(self, words: np.ndarray, follows: np.ndarray, shared: np.ndarray, total: int):
+        order = np.argsort(words)
+        self.words = words[order]
+        common = shared[order] / max(total, 1)
+        self.backoff, self.prob = np.ones(2), np.zeros((2, len(words)))
+        for c in range(2):
+            n = follows[c][order]
+            size, lost = n.sum(), discounts(n)[np.minimum(n, 3)]
+            if size:
+                self.backoff[c] = lost.sum() / size
+            self.prob[c] = (n - lost) / max(size, 1) + self.backoff[c] * common
+        self.ratio = np.log(self.prob[1]) - np.log(self.prob[0])
+        self.unseen = float(np.log(self.backoff[1]) - np.log(self.backoff[0]))
+
+    def evidence(self, margin: float) -> Evidence:
+        less = lambda x: np.sign(x) * np.maximum(np.abs(x) - margin, 0)
+        ratio, unseen = less(self.ratio), float(less(np.array(self.unseen)))
+        told = ratio != unseen
+        return Evidence(self.words[told], ratio[told].astype(np.float32), unseen)
+
+
+class Evidence:
+    """Log-ratios by word, and that of all other words."""
+
+    def __init__(self, words: np.ndarray, ratio: np.ndarray, other: float):
+        self.words, self.ratio, self.other = words, ratio, other
+
+    def difference(self, w: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Per row, the difference of the length-normalised log-likelihoods; 0 without words."""
+        total = np.zeros(len(w) + 1)
+        if len(w):
+            r = np.full(len(w), self.other)
+            if len(self.words):
+                at = np.searchsorted(self.words, w)
+                at[at == len(self.words)] = 0
+                known = self.words[at] == w
+                r[known] = self.ratio[at[known]]
+            np.cumsum(r, out=total[1:])
+        return (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)
+
+
+def spread(difference: np.ndarray) -> np.ndarray:
+    """The difference on the scale that is calibrated: monotone, and finer near 0."""
+    return np.sign(difference) * np.sqrt(np.abs(difference))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
-    """Newton's method; weights of the columns, then the bias."""
+    """Newton's method; (slope, at least 0; bias)."""
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    w = np.array([0.0, np.log(share / (1 - share))])
     z = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
-    if len(y):
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        w[-1] = np.log(share / (1 - share))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + l2 * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + l2 * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + l2 * np.eye(2), z.T @ (p - y) + l2 * w)
+        w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return w if w[0] > 0 else np.array([0.0, np.log(share / (1 - share))])
 
 
-CALIBRATION = "toxic int, a double, b double, c double"
+def ranking(x: np.ndarray, y: np.ndarray) -> float:
+    """The share of (toxic, ordinary) pairs in the right order, ties as half."""
+    if not y.any() or y.all():
+        return 0.5
+    values, at = np.unique(x, return_inverse=True)
+    pos, neg = np.bincount(at[y == 1], minlength=len(values)), np.bincount(at[y == 0], minlength=len(values))
+    below = np.cumsum(neg) - neg
+    return float((pos * (below + neg / 2)).sum() / (pos.sum() * neg.sum()))
 
 
-def _calibrator(models):
+def _calibrator(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        choices = held.value
         for batch in batches:
             data, off = text_buffers(batch.column(1))
             for lo, hi in chunks(off):
-                x = models.value.features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "a", "b", "c"])
+                w, first = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(e.difference(w, first)) for e in choices)], names=["toxic", *(f"d{k}" for k in range(len(choices)))])
 
     return run
 
 
-SCORED = "doc_id bigint, score double, predicted int"
+SCORED = "doc_id bigint, difference double, score double, predicted int"
 
 
-def _scorer(models, weights: list[float]):
+def _scorer(held, weights: tuple[float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
             data, off = text_buffers(batch.column(1))
             for lo, hi in chunks(off):
-                x = models.value.features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                s = 1 / (1 + np.exp(-np.clip(x @ np.array(weights[:-1]) + weights[-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                d = held.value.difference(*words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
+                s = 1 / (1 + np.exp(-np.clip(spread(d) * weights[0] + weights[1], -30, 30)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(d), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "difference", "score", "predicted"])
 
     return run
 
 
-def _dense(rows: pa.Table, key: str, col: str, size: int) -> np.ndarray:
-    out = np.zeros(size)
-    if rows.num_rows:
-        out[rows.column(key).to_numpy()] = rows.column(col).to_numpy()
-    return out
-
-
-def toxicity_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20000) -> DataFrame:
-    """Per document of docs: doc_id, score (0 to 1), predicted (score >= 0.5).
-
-    training: (id_col, label_col) of labelled rows whose texts are in docs; null labels are ignored.
+def training_rows(rows: DataFrame, training: DataFrame, max_rows: int, max_bytes: int, ordinary_per_toxic: float) -> DataFrame:
+    """(toxic, text, cal): distinct labelled rows of id and text by hash order, within the bounds; cal: rows that calibrate."""
+    lab = training.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    lab = lab.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    # a fifth calibrates, with the classes as they come; the rest is counted
+    lab = lab.withColumn("cal", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)) == 0)
+    size = {(r["cal"], r["toxic"]): r["n"] for r in lab.groupBy("cal", "toxic").agg(F.count("*").alias("n")).collect()}
+    group = F.when(F.col("cal"), -1).otherwise(F.col("toxic"))
+    found = {-1: size.get((True, 0), 0) + size.get((True, 1), 0), 0: size.get((False, 0), 0), 1: size.get((False, 1), 0)}
+    want = {-1: max_rows, 1: max_rows, 0: min(max_rows, int(ordinary_per_toxic * min(max_rows, found[1])))}
+    # ids to look for: somewhat more than wanted, so that the exact bound below can be met
+    near = F.lit(0)
+    for g, n in want.items():
+        near = F.when(group == g, int(min(1.0, (1.3 * n + 50) / max(found[g], 1)) * (1 << 40))).otherwise(near)
+    ids = lab.select("doc_id", "toxic", "cal", group.alias("g"), (F.col("h") < near).alias("use")).where("use").drop("use")
+    here = rows.join(F.broadcast(ids), "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
+    cut = F.lit(None).cast("long")
+    for g, n in want.items():
+        held = here.where(F.col("g") == g).select("key", F.octet_length("text").alias("b")).dropDuplicates(["key"]).orderBy("key").limit(n).collect()
+        total = np.cumsum([r["b"] or 0 for r in held], dtype=np.int64)
+        fits = int(np.searchsorted(total, max_bytes, "right"))
+        cut = F.when(F.col("g") == g, held[fits - 1]["key"] if fits else None).otherwise(cut)
+    return here.where(F.col("key") <= cut).groupBy("key").agg(*(F.first(c).alias(c) for c in ("toxic", "text", "cal"))).drop("key")
+
+
+def toxicity_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20000, max_bytes: int = 64 << 20, ordinary_per_toxic: float = 6.0) -> DataFrame:
+    """Per document row of docs: doc_id, difference (of length-normalised log-likelihoods, less the margin), score (0 to 1), predicted (score >= 0.5).
+
+    training: (id_col, label_col) of labelled rows whose texts are in docs. max_rows and
+    max_bytes bound the labelled rows of each class that are counted, and those that
+    calibrate; ordinary rows are at most ordinary_per_toxic times the toxic ones.
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     work = Workspace(spark, "toxicity")
     rows = source_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    lab = source_columns(training, doc_id=id_col, toxic=label_col).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("toxic in (0, 1) and doc_id is not null")
-    lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    size = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic_rows = min(max_rows, size.get(1, 0))
-    ordinary_rows = min(max_rows, size.get(0, 0), ORDINARY * toxic_rows)
-    # a fifth calibrates, with the classes as they come; the rest is counted
-    calibrates = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)) == 0
-    cut = F.when(F.col("toxic") == 1, toxic_rows / max(size.get(1, 1), 1)).otherwise(ordinary_rows / max(size.get(0, 1), 1)) * (1 << 30)
-    most = min(1.0, 2 * max_rows / max(sum(size.values()), 1)) * (1 << 30)
-    lab = lab.select("doc_id", "toxic", calibrates.alias("cal"), F.when(calibrates, F.col("h") < most).otherwise(F.col("h") < cut).alias("use")).where("use")
-    # the chosen ids are few by construction: some max_rows * 2.4 at most, two numbers and a flag each
-    train = work.stage(rows.join(F.broadcast(lab), "doc_id").select("toxic", "text", "cal"), "train")
-
-    shared = rows.select("text").mapInArrow(_unigrams, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
-    pairs = train.where("not cal").select("toxic", "text").mapInArrow(_pairs, "v int, w int, t bigint, o bigint")
-    pairs = work.stage(pairs.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "pairs")
-    seen = [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}1") for c in "ot"]
-    follows = pairs.groupBy("w").agg(*seen).toArrow()
-    kept = [F.sum(F.when(F.col(c) > 2, F.col(c) - DISCOUNTS[2]).otherwise(0.0)).alias(f"{c}1") for c in "ot"]
-    contexts = pairs.groupBy("v").agg(*kept).toArrow()
-    # pairs seen once or twice are discounted away
-    buckets = pairs.where("t > 2 or o > 2").select("v", "w", "t", "o").mapInArrow(_bucketed, "b int, t bigint, o bigint").groupBy("b").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toArrow()
-    models = Models(
-        _dense(shared, "w", "n", WORD_BUCKETS),
-        np.stack([_dense(follows, "w", f"{c}1", WORD_BUCKETS) for c in "ot"]),
-        np.stack([_dense(contexts, "v", f"{c}1", WORD_BUCKETS) for c in "ot"]),
-        np.stack([_dense(buckets, "b", c, PAIR_BUCKETS) for c in "ot"]),
-    )
-    held = sc.broadcast(models)
-    cal = train.where("cal").select("toxic", "text").mapInArrow(_calibrator(held), CALIBRATION).toArrow()
-    x = np.column_stack([cal.column(c).to_numpy() for c in "abc"])
-    weights = fit_logistic(x, cal.column("toxic").to_numpy().astype(np.float64))
-    return rows.mapInArrow(_scorer(held, weights.tolist()), SCORED)
-
-
-def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    np.seterr(over="ignore")
-    for batch in batches:
-        if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(pair_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy()), pa.int32()), batch.column(2), batch.column(3)], names=["b", "t", "o"])
+    lab = source_columns(training, doc_id=id_col, toxic=label_col).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
+    train = work.stage(training_rows(rows, lab, max_rows, max_bytes, ordinary_per_toxic), "train")
+
+    shared = work.stage(rows.select("text").mapInArrow(_counter, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    follows = train.where("not cal").select("toxic", "text").mapInArrow(_followers, "toxic int, v bigint, w bigint").distinct()
+    seen = [F.sum((F.col("toxic") == c).cast("long")).alias(f"n{c}") for c in range(2)]
+    known = follows.groupBy("w").agg(*seen).join(shared.hint("merge"), "w").toArrow()
+    columns = {c: known.column(c).to_numpy() for c in ("w", "n0", "n1", "n")}
+    models = Models(columns["w"].view(np.uint64), np.stack([columns["n0"], columns["n1"]]), columns["n"], total)
+
+    choices = [models.evidence(m) for m in MARGINS]
+    schema = "toxic int, " + ", ".join(f"d{k} double" for k in range(len(MARGINS)))
+    cal = train.where("cal").select("toxic", "text").mapInArrow(_calibrator(sc.broadcast(choices)), schema).toArrow()
+    y = cal.column("toxic").to_numpy().astype(np.float64)
+    best = max(range(len(MARGINS)), key=lambda k: round(ranking(cal.column(f"d{k}").to_numpy(), y), 4))
+    weights = fit_logistic(spread(cal.column(f"d{best}").to_numpy()), y)
+    return rows.mapInArrow(_scorer(sc.broadcast(choices[best]), (float(weights[0]), float(weights[1]))), SCORED)

@@ -3,23 +3,29 @@ confirmation, and connected components by alternating large-star and small-star.
 
 Two documents are linked when the Jaccard similarity of their full shingle sets is at
 least the threshold. 200 minima in 40 bands of 5 miss a pair of similarity 0.8 with a
-probability of (1 - 0.8**5)**40 = 1.3e-7, and the signature filter (estimate of 0.65
-or more) such a pair with about 1e-7. Every pair that passes is confirmed on its full sets.
-
-Size and skew. Documents with equal shingle sets are one node from the start. A bucket
-never yields its pairs: its members are first linked to its most connected member (a
-star), each document to the hub with which it shares most buckets, in two rounds. Once
-these components are known, buckets of one component are settled. The documents of the
-others are compared exactly: two sets can only be similar enough if they share a shingle
-among the rarest of both, early enough for the rest to suffice (prefix and position
-filters, which lose nothing under any order of shingles that is the same for all). Rarity
-comes from a fixed number of counters. Documents of a shingle's commonest component need
-no pairs among themselves, so only those of *other* components meet the rest. Confirmation streams members past their hub's set; hubs with many
+probability of (1 - 0.8**5)**40 = 1.3e-7, and the signature filters (see ESTIMATE, NEAR)
+such a pair with about 1e-7 each. Every pair that passes is confirmed on its full sets.
+
+Nodes are distinct shingle sets (by a 64-bit digest), so documents with equal sets are one
+node from the start, whatever their ids. A bucket never yields its pairs: its members are
+first linked to its most connected member (a star), each node to the hub with which it
+shares most buckets, in two rounds. Once these components are known, buckets of one
+component are settled. The nodes of the others are compared under filters that lose nothing:
+two sets can only be similar enough if they share a shingle among the rarest of both, early
+enough for the rest to suffice, under any order of shingles that is the same for all (rarity
+comes from a fixed number of counters). Nodes of a shingle's commonest component need no
+comparison among themselves, so only those of *other* components meet the rest: in cells of a
+bounded number of nodes on either side, where they are compared by sizes, places and long
+one-bit signatures. Only what passes all of that leaves a cell and is confirmed; the pairs of
+a group are never rows. Confirmation streams members past their hub's set; hubs with many
 members are split over several tasks. No bucket, component or candidate list is capped.
 
-Edge cases: null or wordless texts have no shingles and are linked with nothing; a
-single word is its own shingle; null ids get a null component and are kept; rows that
-repeat an id are one node; an empty table gives an empty result.
+Edge cases: null or wordless texts have no shingles and are linked with nothing; a text of
+fewer words than a shingle is one shingle; rows that repeat an id are judged one by one, by
+their own texts; a null id takes part like any other and gets the smallest id of its
+component (null, and kept, if all ids there are null); very long texts are hashed whole, in
+chunks of bytes; of equal degrees the smallest node is the hub, which changes no result; other columns of the
+table are never read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,18 +38,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import LOWER, NOT_SPACE, Workspace, chunks, list_array, mix, source_columns, span_hashes, text_buffers, word_spans
+from trackloom.llm.common import LOWER, NOT_SPACE, Workspace, chunks, list_array, mix, ragged, source_columns, span_hashes, text_buffers, word_spans
 
 ROWS, BANDS = 5, 40
+#: Least estimate from the minima that is confirmed: 5.3 deviations (of sqrt(0.8 * 0.2 / 200)) below 0.8.
 ESTIMATE = 0.65
-#: Rounds in which bucket members are linked to a hub before what is left is compared pair by pair.
+#: Rounds in which bucket members are linked to a hub before what is left is compared in cells.
 STARS = 2
 #: Members of a hub that one task confirms.
 GROUP = 512
+#: One-bit minima of nodes that are compared in cells, and the least estimate from them: 5.3 deviations (of 2 * sqrt(0.9 * 0.1 / 1024)) below 0.8.
+BITS, NEAR = 1024, 0.70
+#: Nodes on either side of a cell, about; pairs that a task looks at together.
+CELL, SLICE = 512, 1 << 20
 
 _draw = np.random.Generator(np.random.PCG64(7))
 _A = _draw.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _draw.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
+_C = _draw.integers(1, 2**63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_D = _draw.integers(0, 2**63, BITS, dtype=np.uint64)
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +75,23 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray,
     row = np.repeat(np.arange(len(words)), words)
     place = np.arange(len(h)) - first[:-1][row]
     keep = place <= words[row] - size
-    out = acc[keep]
     per = np.maximum(words - size + 1, 0)
-    for r in np.flatnonzero((words > 0) & (words < size)):  # short rows: few, and of fewer than `size` words
-        x = h[first[r] : first[r + 1]]
-        one = np.uint64(len(x))
-        for y in x:
-            one = mix(np.array([one * np.uint64(0x9FB21C651E98DF25) + y], np.uint64))[0]
-        out = np.insert(out, int(per[:r].sum()), one)
-        per[r] = 1
+    short = np.flatnonzero((words > 0) & (words < size))
+    per[short] = 1
+    if len(short):  # all words of a short row, as one
+        whole = words[short].astype(np.uint64)
+        for k in range(size - 1):
+            more = words[short] > k
+            whole[more] = mix(whole[more] * np.uint64(0x9FB21C651E98DF25) + h[first[:-1][short[more]] + k])
+        acc[first[:-1][short]] = whole
+        keep[first[:-1][short]] = True
+    out = acc[keep]
     bounds = np.zeros(len(per) + 1, np.int64)
     np.cumsum(per, out=bounds[1:])
     return out, bounds
 
 
-SKETCH = "doc_id bigint, set_key binary, n_shingles bigint, bands array<bigint>, sig binary"
+SKETCH = "doc_id bigint, row_key bigint, node bigint, n_shingles bigint, bands array<bigint>, sig binary"
 
 
 def _sketcher(size: int):
@@ -85,7 +100,7 @@ def _sketcher(size: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            data, off = text_buffers(batch.column(1))
+            data, off = text_buffers(batch.column(2))
             for lo, hi in chunks(off, 1 << 19):
                 sh, bounds = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
                 n = hi - lo
@@ -95,12 +110,12 @@ def _sketcher(size: int):
                     at = bounds[has]
                     for k in range(k_all):
                         sig[:, k] = np.minimum.reduceat((sh * _A[k] + _B[k]) >> np.uint64(32), at)
-                keys: list[bytes | None] = [None] * n
+                nodes = np.zeros(n, np.int64)
                 counts = np.zeros(n, np.int64)
                 for r in has:
                     own = np.unique(sh[bounds[r] : bounds[r + 1]])
                     counts[r] = len(own)
-                    keys[r] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                    nodes[r] = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
                 acc = np.zeros((len(has), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for k in range(ROWS):
                     acc = mix(acc * np.uint64(0x9FB21C651E98DF25) + sig[:, k::ROWS].astype(np.uint64))
@@ -110,8 +125,8 @@ def _sketcher(size: int):
                 for j, r in enumerate(has):
                     sigs[r] = sig[j].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(keys, pa.binary()), pa.array(counts), list_array(acc.reshape(-1).view(np.int64), per, pa.int64()), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "set_key", "n_shingles", "bands", "sig"],
+                    [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(nodes, mask=counts == 0), pa.array(counts), list_array(acc.reshape(-1).view(np.int64), per, pa.int64()), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "row_key", "node", "n_shingles", "bands", "sig"],
                 )
 
     return sketch
@@ -159,9 +174,9 @@ def _confirmer(size: int, num: int, den: int):
 def confirm_pairs(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Of (hub, doc_id) pairs, those whose full sets are similar enough; texts: doc_id, text."""
     count = pairs.groupBy("hub").agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / GROUP).cast("int"))
-    salted = pairs.join(count, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "doc_id")
+    salted = pairs.join(count.hint("merge"), "hub").select("hub", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "doc_id")
     hubs = count.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("doc_id"))
-    rows = salted.unionByName(hubs).join(texts, "doc_id").select("hub", "salt", "role", "doc_id", "text")
+    rows = salted.unionByName(hubs).join(texts.hint("merge"), "doc_id").select("hub", "salt", "role", "doc_id", "text")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
     return rows.mapInArrow(_confirmer(size, num, den), "hub bigint, doc_id bigint")
 
@@ -220,6 +235,73 @@ def _prefixer(size: int, num: int, den: int, rarity):
     return prefix
 
 
+def _signer(size: int):
+    """One-bit minima: the last bit of each of BITS minima."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            data, off = text_buffers(batch.column(1))
+            for lo, hi in chunks(off, 1 << 19):
+                sh, bounds = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
+                at, bits = bounds[:-1], np.zeros((hi - lo, BITS), np.uint8)
+                for k in range(BITS):
+                    bits[:, k] = (np.minimum.reduceat((sh * _C[k] + _D[k]) >> np.uint64(32), at) & np.uint64(1)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], names=["doc_id", "bits"])
+
+    return sign
+
+
+def _cells(num: int, den: int):
+    """Rows (cell, role, doc_id, c, place, n_shingles, bits) sorted by cell: those of role 0 meet those of role 1; pairs that may be similar come out.
+
+    A cell that goes on in the next batch waits for it; cells hold about CELL rows of either role.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            cell = whole.column(0).to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1], "left"))
+            rest = whole.slice(cut)
+            if cut:
+                yield from pairs_of(whole.slice(0, cut))
+        if rest is not None:
+            yield from pairs_of(rest)
+
+    def pairs_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cell, role, doc, c, place, n = (batch.column(k).to_numpy() for k in range(6))
+        words = np.frombuffer(text_buffers(batch.column(6))[0].tobytes(), np.uint64).reshape(-1, BITS // 64)
+        end = np.searchsorted(cell, cell, "right")
+        odd = np.flatnonzero(role == 0)
+        first = np.searchsorted(cell * 2 + role, cell[odd] * 2 + 1)  # cells are below 2**62
+        size = end[odd] - first
+        upto = np.cumsum(size)
+        lo = 0
+        while lo < len(odd):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE, "right")))
+            row, k = ragged(size[lo:hi])
+            x, y = odd[lo:hi][row], first[lo:hi][row] + k
+            # den * both >= num * (n + nx - both), and both is bounded by what is left of either set
+            needed = -(-num * (n[x] + n[y]).astype(np.int64) // (den + num))
+            ok = (c[x] != c[y]) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= needed) & (np.minimum(n[x], n[y]) >= needed)
+            x, y = x[ok], y[ok]
+            for a in range(0, len(x), SLICE // 8):
+                p, q = x[a : a + SLICE // 8], y[a : a + SLICE // 8]
+                same = BITS - np.bitwise_count(words[p] ^ words[q]).sum(1, dtype=np.int64)
+                near = 2 * same / BITS - 1 >= NEAR
+                if near.any():
+                    one, two = doc[p[near]], doc[q[near]]
+                    found = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["hub", "doc_id"])
+            lo = hi
+
+    return compare
+
+
 def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with component the smallest node reachable: alternating large-star and small-star.
 
@@ -232,9 +314,9 @@ def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") ->
     while seen["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         k += 1
         e = work.stage(small, f"edges_{k}")
         now = mark(e)
@@ -246,42 +328,51 @@ def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept.
+    """Per document row: doc_id, n_shingles, component_id, kept.
 
-    similarity is an exact fraction: pairs are linked when
-    den * |intersection| >= num * |union|. A document is kept when it is the smallest
+    similarity is an exact fraction of 0.8 or more: pairs are linked when
+    den * |intersection| >= num * |union|. A document is kept when its id is the smallest
     of its component.
     """
     num, den = similarity
-    work = Workspace(docs.sparkSession, "neardup")
+    if 10 * num < 8 * den:
+        raise ValueError("bands and signatures are set for a similarity of 0.8 or more")
+    spark = docs.sparkSession
+    work = Workspace(spark, "neardup")
     rows = source_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = rows.select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("row_key"), "text")
     sk = work.stage(rows.mapInArrow(_sketcher(shingle_words), SKETCH), "sketch")
-    reps = work.stage(sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
-    own = sk.join(reps.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
+    # one row for each distinct set
+    reps = work.stage(sk.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key")), "reps")
+    own = sk.select("row_key", "node", "n_shingles", "bands", "sig").join(reps.select("node", "row_key").hint("merge"), ["node", "row_key"], "left_semi").dropDuplicates(["node", "row_key"])
+    own = work.stage(own.withColumnRenamed("node", "doc_id"), "own")
     bucket = own.select("doc_id", F.explode("bands").alias("bucket"))
     shared = bucket.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("bucket", "size")
-    members = work.stage(bucket.join(shared, "bucket"), "members")
+    members = work.stage(bucket.join(shared.hint("merge"), "bucket"), "members")
     degree = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
-    members = work.stage(members.join(degree, "doc_id").select("bucket", "doc_id", "degree"), "ranked")
+    members = work.stage(members.join(degree.hint("merge"), "doc_id").select("bucket", "doc_id", "degree"), "ranked")
     found = members.select("doc_id").distinct()
-    sigs = work.stage(sk.join(found, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]), "sigs", "none")
-    # texts of documents that share a bucket, once; by a merge join at every size
-    texts = work.stage(rows.where("text is not null").join(found.hint("merge"), "doc_id", "left_semi"), "texts")
+    found = work.stage(own.join(found.hint("merge"), "doc_id", "left_semi").select("doc_id", "row_key", "n_shingles", "sig"), "sigs", "none")
+    sigs = found.select("doc_id", "n_shingles", "sig")
+    # texts of nodes that share a bucket, once each; by a merge join at every size
+    texts = rows.where("text is not null").select("row_key", "text").dropDuplicates(["row_key"])
+    texts = work.stage(texts.join(found.select("row_key", "doc_id").hint("merge"), "row_key").select("doc_id", "text"), "texts")
 
     def scored(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and signatures allow the similarity."""
-        x = pairs.join(sigs, "doc_id").join(sigs.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n_hub"), F.col("sig").alias("sig_hub")), "hub")
+        x = pairs.join(sigs.hint("merge"), "doc_id").join(sigs.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n_hub"), F.col("sig").alias("sig_hub")).hint("merge"), "hub")
         x = x.where(den * F.least("n_shingles", "n_hub") >= num * F.greatest("n_shingles", "n_hub"))
         return x.select("hub", "doc_id", "sig", "sig_hub").mapInArrow(_estimate, "hub bigint, doc_id bigint, est double").where(F.col("est") >= ESTIMATE).select("hub", "doc_id")
 
-    def labelled(comp: DataFrame | None) -> DataFrame:
-        """Members of buckets that hold several components, with the commonest of them."""
-        c = F.col("doc_id") if comp is None else F.coalesce("component", "doc_id")
-        m = members if comp is None else members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        m = m.select("bucket", "doc_id", "degree", c.alias("c"))
-        share = m.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        commonest = share.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.count("*").alias("k")).where("k > 1").select("bucket", "big")
-        return m.join(commonest, "bucket")
+    def several(rows: DataFrame) -> DataFrame:
+        """Rows (bucket, c, ..) of buckets that hold several components, with the commonest of them."""
+        share = rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+        commonest = share.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.count("*").alias("k"), F.sum("n").alias("n_all")).where("k > 1")
+        return rows.join(commonest.select("bucket", "big", "n_all").hint("merge"), "bucket")
+
+    def with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        c = comp.withColumnRenamed("node", "doc_id").hint("merge")
+        return rows.join(c, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
 
     links: DataFrame | None = None
     comp: DataFrame | None = None
@@ -290,46 +381,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if comp is None:
             open_rows = members.select("bucket", "doc_id", "degree", F.col("doc_id").alias("c"), F.lit(None).cast("long").alias("big"))
         else:
-            open_rows = work.stage(labelled(comp), f"open_{k}")
+            open_rows = work.stage(several(with_component(members, comp)), f"open_{k}")
         rank = F.struct("degree", -F.col("doc_id"))
         hubs = open_rows.where("big is null or c <> big").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "c"), rank).alias("h")).select("bucket", F.col("h.doc_id").alias("hub"), F.col("h.c").alias("ch"))
-        star = open_rows.join(hubs, "bucket").where("c <> ch").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
+        star = open_rows.join(hubs.hint("merge"), "bucket").where("c <> ch").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
         if tested is not None:
-            star = star.join(tested, ["hub", "doc_id"], "left_anti")
+            star = star.join(tested.hint("merge"), ["hub", "doc_id"], "left_anti")
         star = work.stage(star.groupBy("doc_id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "doc_id"), f"star_{k}")
         tested = star if tested is None else tested.unionByName(star)
         more = confirm_pairs(scored(star), texts, shingle_words, num, den)
         links = work.stage(more if links is None else links.unionByName(more), f"links_{k}")
-        comp = components(links, Workspace(docs.sparkSession, "neardup"), "hub", "doc_id")
+        comp = components(links, Workspace(spark, "neardup"), "hub", "doc_id")
 
-    # what is left: documents of buckets that hold several components, compared exactly
-    unsettled = labelled(comp).select("doc_id").distinct()
-    rest = work.stage(texts.join(unsettled, "doc_id", "left_semi").select("doc_id", "text"), "rest")
+    # what is left: nodes of buckets that hold several components
+    unsettled = several(with_component(members, comp)).select("doc_id").distinct()
+    rest = work.stage(texts.join(unsettled.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), "rest")
     seen = rest.select("text").mapInArrow(_counter(shingle_words), "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     rarity = np.zeros(COUNTERS, np.int64)
     rarity[seen.column("b").to_numpy()] = seen.column("n").to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(np.minimum(rarity, 1 << 30).astype(np.int32))
+    held = spark.sparkContext.broadcast(np.minimum(rarity, 1 << 30).astype(np.int32))
     tokens = work.stage(rest.mapInArrow(_prefixer(shingle_words, num, den, held), TOKENS), "tokens")
-    t = tokens.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    t = work.stage(t, "tokens_labelled")
-    share = t.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    commonest = share.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.count("*").alias("k")).where("k > 1").select("bucket", "big")
-    full = work.stage(t.join(commonest, "bucket"), "tokens_open")
-    odd = full.where("c <> big").select(F.col("bucket").alias("b2"), F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("place").alias("px"), F.col("n_shingles").alias("nx"))
-    # den * both >= num * (n + nx - both)
-    needed = F.ceil(num * (F.col("nx") + F.col("n_shingles")) / (den + num))
-    close = F.least(F.col("nx") - F.col("px"), F.col("n_shingles") - F.col("place")) >= needed
-    # of two odd rows each pair comes up twice: take it once
-    once = (F.col("c") == F.col("big")) | (F.col("x") < F.col("doc_id"))
-    cross = odd.join(full, (F.col("bucket") == F.col("b2")) & (F.col("cx") != F.col("c")) & close & once)
-    cross = cross.select(F.least("x", "doc_id").alias("hub"), F.greatest("x", "doc_id").alias("doc_id")).distinct()
+    full = work.stage(several(with_component(tokens, comp)), "tokens_open")
+    signed = full.select("doc_id").distinct()
+    bits = work.stage(rest.join(signed.hint("merge"), "doc_id", "left_semi").mapInArrow(_signer(shingle_words), "doc_id bigint, bits binary"), "bits", "none")
+    n_odd = full.where("c <> big").groupBy("bucket").agg(F.count("*").alias("n_odd"))
+    full = full.join(n_odd.hint("merge"), "bucket").join(bits.hint("merge"), "doc_id")
+    blocks = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    columns = ["bucket", "doc_id", "c", "place", "n_shingles", "bits"]
+    one = full.where("c <> big").select(*columns, F.lit(0).alias("role"), block("n_odd").alias("i"), upto("n_all").alias("j"))
+    two = full.select(*columns, F.lit(1).alias("role"), upto("n_odd").alias("i"), block("n_all").alias("j"))
+    cells = one.unionByName(two).withColumn("cell", F.shiftrightunsigned(F.xxhash64("bucket", "i", "j"), 2))
+    cells = cells.select("cell", "role", "doc_id", "c", "place", "n_shingles", "bits").repartition("cell").sortWithinPartitions("cell", "role")
+    near = cells.mapInArrow(_cells(num, den), "hub bigint, doc_id bigint").distinct()
     both_ways = tested.select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id"))
-    more = confirm_pairs(scored(cross.join(both_ways, ["hub", "doc_id"], "left_anti")), texts, shingle_words, num, den)
+    near = work.stage(near.join(both_ways.hint("merge"), ["hub", "doc_id"], "left_anti"), "near")
+    more = confirm_pairs(near, texts, shingle_words, num, den)
     joined = work.stage(comp.select(F.col("node").alias("hub"), F.col("component").alias("doc_id")).unionByName(more), "joined")
-    final = components(joined, Workspace(docs.sparkSession, "neardup"), "hub", "doc_id")
-    work.drop("sigs", "members", "ranked", "rest", "tokens", "tokens_labelled", "tokens_open", "texts", "joined", *[f"{n}_{k}" for n in ("open", "star", "links") for k in range(STARS)])
+    final = components(joined, Workspace(spark, "neardup"), "hub", "doc_id")
+
+    named = with_component(reps.select(F.col("node").alias("doc_id"), "least"), final)
+    least = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    named = work.stage(named.select(F.col("doc_id").alias("node"), "c").join(least.hint("merge"), "c").select("node", "component_id"), "named")
+    work.drop("sigs", "members", "ranked", "rest", "tokens", "tokens_open", "bits", "near", "texts", "joined", "own", "reps", *[f"{n}_{k}" for n in ("open", "star", "links") for k in range(STARS)])
 
-    rep = sk.select("doc_id", "set_key", "n_shingles").join(reps, "set_key", "left")
-    out = rep.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = sk.select("doc_id", "node", "n_shingles").join(named.hint("merge"), "node", "left")
+    alone = F.col("node").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))

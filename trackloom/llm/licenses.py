@@ -1,17 +1,23 @@
 """License scans, in DataFrame functions only.
 
 Overlapping windows of a text's five-word shingles are min-hashed; bands of one minimum
-each retrieve templates, and exact shingle containment verifies them.
+each retrieve templates, and exact shingle containment in the document verifies them.
 
 A template of m shingles is sought in windows of W shingles, the power of two from 2m to
 4m, at strides of W / 2, so one window holds the whole of it and has a similarity of m / W >=
 1/4 with it. `MINIMA` = 48 bands of one minimum each then collide with a probability of at
 least 1 - (3/4)**48 = 0.999999, and with four fifths of the template's shingles left
-1 - (4/5)**48 = 0.99998. A minimum is equal only where both sides hold the same shingle, so
-windows without any template shingle cannot collide, and only the others are min-hashed.
+1 - (4/5)**48 = 0.99998.
 
-Edge cases: null, empty and short texts hold no license; templates of fewer than five words
-are one shingle; repeated rows give repeated results; null ids are kept.
+A window's minimum can only equal a template's where the window holds the very shingle that
+attains the template's. So only windows that hold such a shingle are min-hashed: the others
+collide in no band. A row is decided where it is read, without a join or a shuffle.
+
+Edge cases: null, empty and short texts hold no license, and a text of fewer than five words
+is one shingle, as is such a template; repeated rows and rows that repeat an id or have none
+are decided one by one; a template that stands twice is one license, at its first window;
+very long texts are scanned whole; names are sorted, which settles ties; other columns of the
+table are never read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +25,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Workspace
-
 SHINGLE = 5
 MINIMA = 48
 #: Public license notices, as their stewards word them.
@@ -61,37 +65,59 @@ def minima(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(MINIMA)), lambda k: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, k))))
 
 
-def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: tuple[int, int] = (4, 5)) -> DataFrame:
-    """doc_id, template, word (of the first window that holds it): verified matches only, one row per document row and template."""
-    num, den = containment
-    spark = docs.sparkSession
-    work = Workspace(spark, "licenses")
-    table = spark.createDataFrame(list((templates or TEMPLATES).items()), "template string, text string")
+def _library(spark, templates: dict[str, str]) -> list:
+    """(template, t: its shingles, w: size of its windows, m: its minima, top: the shingles that attain them); a constant of the program."""
     size = F.size("t")
+    table = spark.createDataFrame(list(templates.items()), "template string, text string")
     table = table.select("template", F.array_distinct(shingle_hashes(words(F.col("text")))).alias("t"))
     table = table.select("template", "t", F.pow(F.lit(2.0), F.ceil(F.log2(2 * size))).cast("int").alias("w"), minima(F.col("t")).alias("m"))
-    library = table.collect()  # a constant of the program
-    wanted = sorted({x for r in library for x in r["t"]})
-    sizes = sorted({r["w"] for r in library})
-    library_df = spark.createDataFrame(library, table.schema)
-    bands = library_df.select("template", "t", "w", F.posexplode("m").alias("k", "v"))
+    attains = F.filter("t", lambda x: F.exists(F.sequence(F.lit(1), F.lit(MINIMA)), lambda k: F.xxhash64(x, k) == F.element_at("m", k)))
+    return table.select("*", attains.alias("top")).orderBy("template").collect()
+
+
+def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: tuple[int, int] = (4, 5)) -> DataFrame:
+    """Per document row: doc_id, matches (array of template, word: start of the first window that retrieved it), by template."""
+    num, den = containment
+    library = _library(docs.sparkSession, templates or TEMPLATES)
+    longs = lambda x: F.array(*[F.lit(v).cast("long") for v in x])
+    known = F.array(*[F.struct(F.lit(r["template"]).alias("template"), longs(r["t"]).alias("t"), F.lit(r["w"]).alias("w"), longs(r["m"]).alias("m")) for r in library])
+    wanted, top = sorted({x for r in library for x in r["t"]}), sorted({x for r in library for x in r["top"]})
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sh = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words")).select("doc_id", "text_hash", shingle_hashes(F.col("words")).alias("s"))
-    hit = F.filter(F.transform("s", lambda x, i: F.when(x.isin(wanted), i)), lambda i: i.isNotNull())
-    starts = F.flatten(F.transform(F.array(*[F.lit(w) for w in sizes]), lambda w: F.transform(F.array_distinct(F.flatten(F.transform(F.col("at"), lambda p: F.array(F.floor(p * 2 / w), F.floor(p * 2 / w) - 1)))), lambda g: F.struct(w.alias("w"), F.greatest(g * w / 2, F.lit(0)).cast("int").alias("from")))))
-    win = sh.select("doc_id", "text_hash", "s", hit.alias("at")).select("doc_id", "text_hash", "s", F.explode(F.array_distinct(starts)).alias("x"))
-    w, start = F.col("x.w"), F.col("x.from")
-    win = win.select("doc_id", "text_hash", w.alias("w"), start.alias("from"), F.slice("s", start + 1, w).alias("window"), F.slice("s", F.greatest(start - w, F.lit(0)) + 1, 3 * w).alias("region"))
-    win = work.stage(win, "windows")
-    keyed = win.withColumn("minima", minima(F.col("window"))).select("doc_id", "text_hash", "w", "from", "region", F.posexplode("minima").alias("k", "v"))
-    got = keyed.join(F.broadcast(bands), ["w", "k", "v"]).where(den * F.size(F.array_intersect("t", "region")) >= num * F.size("t"))
-    return got.groupBy("doc_id", "text_hash", "template").agg(F.min("from").alias("word"))
+    rows = rows.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", shingle_hashes(F.col("words")).alias("s"))
+    at = F.filter(F.transform("s", lambda x, i: F.when(x.isin(top), i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "s", at.alias("at"))
+
+    def starts(w: int) -> Column:
+        """Windows of w shingles that hold a place, at strides of half of w."""
+        half = max(w // 2, 1)
+        own = F.flatten(F.transform("at", lambda p: F.array(F.floor(p / half), F.floor(p / half) - 1)))
+        return F.transform(F.array_distinct(F.filter(own, lambda g: g >= 0)), lambda g: F.struct(F.lit(w).alias("w"), (g * half).cast("int").alias("from")))
+
+    hashed = F.transform(F.concat(*[starts(w) for w in sorted({r["w"] for r in library})]), lambda x: F.struct(x["w"].alias("w"), x["from"].alias("from"), minima(F.slice("s", x["from"] + 1, x["w"])).alias("m")))
+    held = F.array_distinct(F.filter("s", lambda x: x.isin(wanted)))
+    some = F.size("at") > 0
+    rows = rows.select("doc_id", F.when(some, hashed).alias("windows"), F.when(some, held).alias("held"))
+
+    def collides(x: Column, t: Column) -> Column:
+        return (x["w"] == t["w"]) & F.exists(F.zip_with(x["m"], t["m"], lambda a, b: a == b), lambda e: e)
+
+    def match(t: Column) -> Column:
+        retrieved = F.filter("windows", lambda x: collides(x, t))
+        verified = den * F.size(F.array_intersect(t["t"], "held")) >= num * F.size(t["t"])
+        return F.when((F.size(retrieved) > 0) & verified, F.struct(t["template"].alias("template"), F.array_min(F.transform(retrieved, lambda x: x["from"])).alias("word")))
+
+    found = F.filter(F.transform(known, match), lambda x: x.isNotNull())
+    none = F.array().cast("array<struct<template:string,word:int>>")
+    return rows.select("doc_id", F.coalesce(F.when(F.col("windows").isNotNull(), found), none).alias("matches"))
+
+
+def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: tuple[int, int] = (4, 5)) -> DataFrame:
+    """doc_id, template, word: verified matches only, one row per document row and template."""
+    return license_matches(docs, templates, id_col, text_col, containment).select("doc_id", F.inline("matches"))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_licenses, licenses (template names, sorted, comma-joined; empty if none)."""
-    found = license_spans(docs, templates, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("template")).alias("names"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
-    out = rows.join(found, ["doc_id", "text_hash"], "left")
-    return out.select("doc_id", F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_licenses"), F.coalesce(F.array_join("names", ","), F.lit("")).alias("licenses"))
+    """Per document row: doc_id, n_licenses, licenses (template names, sorted, comma-joined; empty if none)."""
+    names = F.array_sort(F.transform("matches", lambda x: x["template"]))
+    return license_matches(docs, templates, id_col, text_col).select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"))

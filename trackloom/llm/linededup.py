@@ -1,18 +1,21 @@
 """Line dedup: line hashes range-partitioned with secondary sort by document and position.
 
-The operator returns, per document, a compressed keep bitmap instead of text; `apply_bitmaps`
-turns bitmaps back into text. A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at
-both ends with A-Z lower-cased. Keys of at least `min_chars` code points that occur in at
-least `min_docs` documents lose all their lines but those of the largest document id.
+The operator returns, for every document, a compressed keep bitmap instead of text;
+`apply_bitmaps` turns bitmaps back into text. A line's key is the line stripped of
+`[\\x20\\x09-\\x0D]` at both ends with A-Z lower-cased. Keys of at least `min_chars` code points
+that occur in at least `min_docs` documents lose all their lines but those of the largest
+document id.
 
 Skew. The range partitioning is by (hash, document), so one hot line spreads over as many
 tasks as its rows need. Each sorted batch decides the keys that lie wholly inside it. Keys
 that touch a batch's edge may go on elsewhere; their rows are set aside and settled by one
-map-side combined aggregate per key.
+map-side combined aggregate per key, which meets the rows again in SALTS parts per key.
 
 Edge cases: a null or empty text is one empty line; rows that repeat a document id count as
-one document and are treated alike; null ids never count and keep all their lines; an empty
-table gives an empty result.
+one document, and each loses its own lines; null ids never count and keep all their lines;
+repeated lines of one document go or stay together; very long texts are cut whole, in chunks
+of bytes; other columns of the table are never read, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import LOWER, NOT_SPACE, Workspace, chunks, mix, partitions, source_columns, span_hashes, text_buffers
 
-LINES = "h1 bigint, h2 bigint, doc_id bigint, line int"
+#: Parts of a hot key when its rows meet their decision.
+SALTS = 32
+LINES = "h1 bigint, h2 bigint, doc_id bigint, line int, row_key bigint"
 
 
 def line_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +69,7 @@ def _hasher(min_chars: int):
         np.seterr(over="ignore")
         for batch in batches:
             data, off = text_buffers(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for lo, hi in chunks(off):
                 d, o = LOWER[data[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo]
                 row, s, e, first = line_keys(d, o)
@@ -74,14 +79,14 @@ def _hasher(min_chars: int):
                 h = span_hashes(d, s[own], e[own])
                 h2 = span_hashes(255 - d, s[own], e[own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(mix(h2 ^ (h >> np.uint64(7))).view(np.int64)), pa.array(ids[lo:hi][row[own]].astype(np.int64)), pa.array((np.arange(len(row)) - first[row])[own].astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "line"],
+                    [pa.array(h.view(np.int64)), pa.array(mix(h2 ^ (h >> np.uint64(7))).view(np.int64)), pa.array(ids[lo:hi][row[own]]), pa.array((np.arange(len(row)) - first[row])[own].astype(np.int32)), pa.array(keys[lo:hi][row[own]])],
+                    names=["h1", "h2", "doc_id", "line", "row_key"],
                 )
 
     return lines
 
 
-DECIDED = "open boolean, h1 bigint, h2 bigint, doc_id bigint, line int"
+DECIDED = "open boolean, h1 bigint, h2 bigint, doc_id bigint, line int, row_key bigint"
 
 
 def _decider(min_docs: int):
@@ -101,53 +106,71 @@ def _decider(min_docs: int):
             edge = (run == 0) | (run == run[-1])
             out = edge | ((n_docs[run] >= min_docs) & (doc != doc[last][run]))
             at = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(edge[at]), *(batch.column(c).take(pa.array(at)) for c in range(4))], names=["open", "h1", "h2", "doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(edge[at]), *(batch.column(c).take(pa.array(at)) for c in range(5))], names=["open", "h1", "h2", "doc_id", "line", "row_key"])
 
     return decide
 
 
-BITMAP = "doc_id bigint, n_dropped bigint, dropped binary"
+BITMAP = "doc_id bigint, row_key bigint, n_lines bigint, n_dropped bigint, keep binary"
+
+
+def packed(keep: np.ndarray) -> bytes:
+    """Booleans by line as a compressed bitmap."""
+    return zlib.compress(np.packbits(keep).tobytes(), 6)
+
+
+def kept_lines(bitmap: bytes, n_lines: int) -> np.ndarray:
+    """A bitmap as booleans by line: True where the line stays."""
+    return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8))[:n_lines].astype(bool)
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole: dict[int, bytes] = {}  # bitmaps of texts that keep all lines, by their number
     for batch in batches:
-        maps, n = [], []
-        for x in batch.column(1).to_pylist():
-            at = np.unique(np.array(x, np.int64))
-            bits = np.zeros(int(at[-1]) + 1, np.uint8)
-            bits[at] = 1
-            maps.append(zlib.compress(np.packbits(bits).tobytes(), 6))
-            n.append(len(at))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "n_dropped", "dropped"])
+        maps, gone = [], []
+        for n, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if x is None:
+                if n not in whole:
+                    whole[n] = packed(np.ones(n, bool))
+                maps.append(whole[n])
+                gone.append(0)
+                continue
+            keep = np.ones(n, bool)
+            keep[np.array(x, np.int64)] = False
+            maps.append(packed(keep))
+            gone.append(n - int(keep.sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(gone, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "row_key", "n_lines", "n_dropped", "keep"])
 
 
-def dropped_lines(bitmap: bytes | None, n_lines: int) -> np.ndarray:
-    """A bitmap as booleans by line: True where the line goes. Null: all lines stay."""
-    out = np.zeros(n_lines, bool)
-    if bitmap:
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8))[:n_lines]
-        out[: len(bits)] = bits.astype(bool)
-    return out
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and a hash of both, which names rows whose ids are null or repeat."""
+    rows = source_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.withColumn("row_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """doc_id, n_dropped, dropped (compressed bitmap of lines that go) of documents that lose lines; all others keep theirs."""
+    """Per document row: doc_id, row_key (a hash of id and text), n_lines, n_dropped, keep (compressed bitmap of the lines that stay)."""
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
-    rows = source_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    keys = work.stage(rows.mapInArrow(_hasher(min_chars), LINES), "keys")
+    rows = _keyed(docs, id_col, text_col)
+    keys = work.stage(rows.where("doc_id is not null").select("doc_id", "text", "row_key").mapInArrow(_hasher(min_chars), LINES), "keys")
     keys = keys.repartitionByRange(2 * partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "line")
-    rows = work.stage(keys.mapInArrow(_decider(min_docs), DECIDED), "decided")
+    decided = work.stage(keys.mapInArrow(_decider(min_docs), DECIDED), "decided")
     work.drop("keys")
-    held = rows.where("open")
+    held = decided.where("open")
     per_doc = held.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     per_key = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= min_docs)
-    settled = held.join(per_key, ["h1", "h2"]).where("doc_id <> last")
-    gone = rows.where("not open").select("doc_id", "line").unionByName(settled.select("doc_id", "line"))
-    return gone.groupBy("doc_id").agg(F.collect_list("line").alias("lines")).mapInArrow(_bitmaps, BITMAP)
+    parts = per_key.select("h1", "h2", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    settled = salted.join(parts.hint("merge"), ["h1", "h2", "salt"]).where("doc_id <> last")
+    gone = decided.where("not open").select("row_key", "line").unionByName(settled.select("row_key", "line"))
+    gone = gone.groupBy("row_key").agg(F.collect_set("line").alias("gone"))
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+    counted = rows.select("doc_id", "row_key", n_lines.cast("long").alias("n_lines"))
+    return counted.join(gone.hint("merge"), "row_key", "left").select("doc_id", "row_key", "n_lines", "gone").mapInArrow(_bitmaps, BITMAP)
 
 
-APPLIED = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string, text string"
+APPLIED = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string, keep binary, text string"
 
 
 def _applier(with_text: bool):
@@ -157,20 +180,21 @@ def _applier(with_text: bool):
             n_lines, n_dropped, sha, kept = [], [], [], []
             for t, m in zip(texts, maps, strict=True):
                 parts = (t or "").split("\n")
-                gone = dropped_lines(m, len(parts))
-                text = (t or "") if not m else "\n".join(p for p, g in zip(parts, gone, strict=True) if not g)
+                keep = kept_lines(m, len(parts))
+                stay = int(keep.sum())
+                text = (t or "") if stay == len(parts) else "\n".join(p for p, k in zip(parts, keep, strict=True) if k)
                 n_lines.append(len(parts))
-                n_dropped.append(int(gone.sum()))
+                n_dropped.append(len(parts) - stay)
                 sha.append(hashlib.sha256(text.encode()).hexdigest())
                 kept.append(text if with_text else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha), batch.column(2), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "keep", "text"])
 
     return apply
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Per document row: doc_id, n_lines, n_dropped, kept_sha256 and, if asked for, the kept text."""
-    rows = source_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    """Per document row: doc_id, n_lines, n_dropped, kept_sha256, keep (its bitmap) and, if asked for, the kept text."""
+    rows = _keyed(docs, id_col, text_col)
     # one plan at every size: texts and bitmaps meet by a merge join, whether or not some bitmaps would fit a broadcast
-    rows = rows.join(bitmaps.select("doc_id", "dropped").hint("merge"), "doc_id", "left").select("doc_id", "text", "dropped")
-    return rows.mapInArrow(_applier(with_text), APPLIED)
+    own = bitmaps.select("row_key", "keep").dropDuplicates(["row_key"])
+    return rows.join(own.hint("merge"), "row_key").select("doc_id", "text", "keep").mapInArrow(_applier(with_text), APPLIED)

@@ -3,7 +3,14 @@ written as NPY tiles with difference hashes.
 
 `encode_pgm` stores any payload of a multiple of 64 bytes losslessly as 8-bit grey samples,
 64 to a row; `decode_image` reads Netpbm (P1 to P6) and BMP (uncompressed, 1, 4, 8, 24 and
-32 bits a pixel). A damaged image gives a null array, never a failed job.
+32 bits a pixel). Images and tiles are tables of files in the shared folder; what is
+returned is read back from both.
+
+Edge cases: null and empty texts are one row of 64 zero samples; a damaged image, one of no
+pixels or of an unknown kind gives nulls for what its pixels would tell, never a failed job;
+repeated rows, and rows that repeat an id or have none, are described one by one, equal
+texts by equal values; very long texts are stored whole, some MB to a batch; other columns of
+the table are never read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import Workspace, source_columns
 
 WIDTH = 64
-TILE = (32, 32)
+TILE = (16, 16)
 
 
 def pad(raw: bytes, unit: int = WIDTH) -> bytes:
@@ -58,6 +65,8 @@ def _netpbm(raw: bytes) -> np.ndarray:
         nums.append(int(raw[at:end]))
         at = end
     w, h, top = nums[0], nums[1], nums[2] if need == 3 else 1
+    if w < 1 or h < 1 or not 1 <= top < 1 << 16:
+        raise ValueError("no pixels, or no such range")
     planes = 3 if kind in (3, 6) else 1
     at += 1
     if kind == 4:
@@ -78,8 +87,8 @@ def _netpbm(raw: bytes) -> np.ndarray:
 def _bmp(raw: bytes) -> np.ndarray:
     (at,) = struct.unpack_from("<I", raw, 10)
     size, w, h, _, depth, packed = struct.unpack_from("<IiiHHI", raw, 14)
-    if packed not in (0, 3):
-        raise ValueError("compressed BMP")
+    if packed != 0 or depth not in (1, 4, 8, 24, 32) or w < 1 or h == 0:
+        raise ValueError("compressed, of an unknown depth, or without pixels")
     colours = struct.unpack_from("<I", raw, 46)[0] or (1 << depth if depth <= 8 else 0)
     stride = (w * depth + 31) // 32 * 4
     rows = np.frombuffer(raw, np.uint8, stride * abs(h), at).reshape(abs(h), stride)
@@ -103,7 +112,7 @@ def decode_image(raw: bytes | None) -> np.ndarray | None:
             return _netpbm(raw)
         if raw and raw[:2] == b"BM":
             return _bmp(raw)
-    except (ValueError, IndexError, struct.error, OverflowError):
+    except (ValueError, IndexError, struct.error, OverflowError, MemoryError):
         pass
     return None
 
@@ -152,7 +161,7 @@ def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FEATURES = "doc_id bigint, n_bytes bigint, height int, width int, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile binary"
 
 
-def _features(tile: tuple[int, int], with_tile: bool):
+def _features(tile: tuple[int, int]):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -162,7 +171,7 @@ def _features(tile: tuple[int, int], with_tile: bool):
                     rows.append((i, n, None, None, None, None, None, len(m or b""), hashlib.sha256(m or b"").hexdigest(), None, None))
                     continue
                 payload = img.tobytes()
-                small = npy(np.round(area_resize(img, *tile)).astype(np.uint8)) if with_tile else None
+                small = npy(np.round(area_resize(img, *tile)).astype(np.uint8))
                 rows.append((i, n, img.shape[0], img.shape[1], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), difference_hash(img), small))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
@@ -172,17 +181,19 @@ def _features(tile: tuple[int, int], with_tile: bool):
     return features
 
 
-def image_features(media: DataFrame, tile: tuple[int, int] = TILE, with_tile: bool = True) -> DataFrame:
+def image_features(media: DataFrame, tile: tuple[int, int] = TILE) -> DataFrame:
     """For (doc_id, n_bytes, media) rows of stored images: shape, digests, difference hash and an NPY tile."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features(tile, with_tile), FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features(tile), FEATURES)
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_tile: bool = True) -> DataFrame:
-    """Store each text's bytes as a grey image in the shared folder, read the images back and describe them.
+def read_tile(stored: bytes | None) -> np.ndarray | None:
+    """The array of an NPY tile; None for null."""
+    return None if stored is None else np.lib.format.read_array(io.BytesIO(stored), allow_pickle=False)
 
-    Null texts are empty; an empty payload is one row of 64 zero samples.
-    """
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store each text's bytes as a grey image in the shared folder, read the images back, describe them, write NPY tiles beside the descriptions, and return these as read back."""
     work = Workspace(docs.sparkSession, "media")
     rows = source_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     stored = work.stage(rows.mapInArrow(_encoder, "doc_id bigint, n_bytes bigint, media binary"), "images")
-    return image_features(stored, with_tile=with_tile)
+    return work.stage(image_features(stored), "tiles")

@@ -7,9 +7,15 @@ Expectation-maximisation over the counts of vote patterns (all documents, at mos
 pattern. The posteriors label a bounded sample (`fit_rows` distinct rows of id and text, by
 hash) that a hashed linear scorer is fitted on; the scorer then scores every whole text.
 
-No labelled rows are used; `labels` serves tests only. Texts of fewer than MIN_WORDS words
-(null and empty ones too) say nothing about labellers: they are a pattern of their own, with
-the prior as its posterior, and nothing is fitted on them. An empty table gives an empty result.
+No labelled rows are used; `labels` serves tests only.
+
+Edge cases: texts of fewer than MIN_WORDS words (null and empty ones too) say nothing about
+labellers: they are a pattern of their own, with the prior as its posterior, nothing is fitted
+on them, and they are kept; rows that repeat an id or have none are scored one by one, and
+equal texts alike; repeated rows are counted as often as they come, and fitted on once; ties
+of the sample's order are rows of equal id and text; very long texts are scored whole, in
+chunks of bytes; other columns of the table are never read, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +31,7 @@ from trackloom.llm.common import LOWER, NOT_SPACE, Workspace, chunks, list_array
 from trackloom.llm.mixing import word_count
 
 #: (name, fires from, what firing says: 0 junk, 1 ordinary). Rates are shares of words, letters, trigrams or lines.
-LABELLERS = [("symbol_words", 0.10, 0), ("upper_letters", 0.25, 0), ("repeated_neighbours", 0.15, 0), ("repeated_trigrams", 0.30, 0), ("shouted_words", 0.05, 0), ("bar_words", 0.05, 0), ("repeated_lines", 0.60, 0), ("long_words", 0.20, 0), ("plain_words", 0.90, 1), ("sentence_ends", 0.035, 1), ("small_letters", 0.90, 1)]
-#: What is assumed of a labeller before anything is counted: it fires on at most this share of the other class, and on at least that share of its own.
-WRONG, RIGHT = 0.02, 0.05
+LABELLERS = [("symbol_words", 0.10, 0), ("upper_letters", 0.25, 0), ("repeated_neighbours", 0.15, 0), ("repeated_trigrams", 0.30, 0), ("shouted_words", 0.05, 0), ("bar_words", 0.05, 0), ("repeated_lines", 0.60, 0), ("long_words", 0.20, 0), ("plain_words", 0.90, 1), ("sentence_ends", 0.035, 1)]
 MIN_WORDS = 8
 DIM = 1 << 16
 #: Buckets of the hashed byte trigrams; above them come the binned rates.
@@ -111,7 +115,6 @@ def rates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[:, 8] = share(odd[ends] - odd[starts] - last_mark == 0)
     out[:, 9] = np.minimum(share(_STOP[data[ends - 1]] & ~bang), 0.5)
     out[:, 9][out[:, 9] > 0.35] = 0
-    out[:, 10] = 1 - out[:, 1]
     return out, words
 
 
@@ -131,21 +134,20 @@ def expectation_maximisation(ids: np.ndarray, count: np.ndarray, rounds: int = 2
     """(posterior of ordinary by pattern, rate of firing [class, labeller] with junk first, prior of ordinary).
 
     Labellers are independent given the class. The start calls junk what any junk labeller
-    fires on; WRONG and RIGHT keep each labeller on its side.
+    fires on; from there on all rates are estimated. Half a firing and half a silence a class
+    are added, so that no rate is 0 or 1.
     """
     says = np.array([x[2] for x in LABELLERS])
     v = (ids[:, None] >> np.arange(len(LABELLERS)) & 1).astype(bool)
     short = ids == SHORT
     n = np.where(short, 0.0, count)
     p = np.where((v & (says == 0)).any(1), 0.05, 0.95)
-    rate, prior = np.zeros((2, len(LABELLERS))), 0.9
+    rate, prior = np.full((2, len(LABELLERS)), 0.5), 0.9
     for _ in range(rounds):
-        prior = float(np.clip((n * p).sum() / max(n.sum(), 1), 0.05, 0.95))
+        prior = float(((n * p).sum() + 0.5) / (n.sum() + 1))
         for c, w in ((0, n * (1 - p)), (1, n * p)):
             rate[c] = ((v * w[:, None]).sum(0) + 0.5) / (w.sum() + 1)
-        rate[0] = np.where(says == 0, np.maximum(rate[0], RIGHT), np.minimum(rate[0], 0.5))
-        rate[1] = np.where(says == 0, np.minimum(rate[1], WRONG), np.maximum(rate[1], 0.5))
-        ratio = np.where(v, np.log(rate[1] / rate[0]), np.log((1 - rate[1] + 1e-6) / (1 - rate[0] + 1e-6)))
+        ratio = np.where(v, np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0])))
         new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + ratio.sum(1), -30, 30)))
         change, p = np.abs(new - p).max(initial=0), new
         if change < 1e-7:

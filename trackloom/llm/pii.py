@@ -5,7 +5,8 @@ becomes another card number of the same length, punctuation and first digit whos
 digit is right, a phone number another one in the same punctuation, an address another
 with as many digits in each part, a date another real date in the same notation. Equal values become equal
 pseudonyms in every document and every run with the same key, and different values of a
-format stay different.
+format stay different. A date is the same value in all notations, and a number of ten digits
+with or without the prefix 1.
 
 A number of n digits is split in halves of a and b digits, which take turns in being added
 a keyed hash of the other, modulo 10**a and 10**b: an alternating Feistel network, hence a
@@ -17,7 +18,10 @@ its own alphabet.
 Edge cases: null text stays null with no finds; what fails validation (month 13, address
 part 300) stays as it is; a number of 13 to 19 digits with a wrong check digit keeps the
 distance of that digit from the right one, so that both kinds stay apart; all other
-characters of a text are untouched. Repeated rows give repeated results.
+characters of a text are untouched. Repeated rows, and rows that repeat an id or have none,
+are rewritten one by one and equal texts alike; of two formats that match at a place the first
+in ANY wins; very long texts are rewritten whole; other columns of the table are never read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -143,7 +147,7 @@ def phone(v: Column, key: str) -> Column:
         n = F.length(x)
         skip = n - 10  # digits before a number of ten: a country code
         part = lambda a, k: F.substring(x, skip + a, F.lit(k))
-        ten = _let(permute_digits(F.concat(part(2, 2), part(5, 6)), key, F.concat(F.lit("phone"), F.substring(x, F.lit(1), skip), part(1, 1), part(4, 1))), lambda p: F.concat(F.substring(x, F.lit(1), skip + 1), F.substring(p, 1, 2), part(4, 1), F.substring(p, 3, 6)))
+        ten = _let(permute_digits(F.concat(part(2, 2), part(5, 6)), key, F.concat(F.lit("phone"), part(1, 1), part(4, 1))), lambda p: F.concat(F.substring(x, F.lit(1), skip + 1), F.substring(p, 1, 2), part(4, 1), F.substring(p, 3, 6)))
         other = F.concat(F.substring(x, 1, 3), permute_digits(F.substring(x, F.lit(4), n - 3), key, F.concat(F.lit("phone"), F.substring(x, 1, 3))))
         return F.when((n == 10) | ((n == 11) & x.startswith("1")), ten).otherwise(other)
 
@@ -193,7 +197,7 @@ def date(v: Column, key: str) -> Column:
     def shift(day: Column) -> Column:
         n = F.datediff(day, start).cast("long")
         block, place = F.floor(n / size), F.pmod(n, F.lit(size))
-        s = feistel(F.floor(place / CYCLE[1]), F.pmod(place, F.lit(CYCLE[1])), F.lit(CYCLE[0]), F.lit(CYCLE[1]), key, F.concat(F.lit("date"), block.cast("string"), F.when(iso, "i").when(dmy.isNotNull(), "d").otherwise("m")))
+        s = feistel(F.floor(place / CYCLE[1]), F.pmod(place, F.lit(CYCLE[1])), F.lit(CYCLE[0]), F.lit(CYCLE[1]), key, F.concat(F.lit("date"), block.cast("string")))
         return _let(s, lambda s: F.date_add(start, (block * size + s["l"] * CYCLE[1] + s["r"]).cast("int")))
 
     def written(d: Column) -> Column:

@@ -22,10 +22,12 @@ CHUNK_BYTES = 1 << 20
 
 # ---------------------------------------------------------------- work tables
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); an own one only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a folder of its own in local mode; on a cluster that is an error, as each machine would have another."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("spark.trackloom.scratch", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("spark.trackloom.scratch", named)

@@ -15,6 +15,11 @@ A word holds a 4-bit selector in its top bits and a number of ids of equal width
 below, first id lowest. Blocks of BLOCK ids start on a word of their own, so all
 blocks of a segment are encoded and decoded side by side. Ids of more than 60 bits
 are written as 0 and listed as escapes.
+
+Edge cases: a null or empty text is its end id alone; equal ids stand together, by text, and
+null ids come first; repeated rows are written as often as they come; very long texts are
+encoded whole, and a document never goes over two segments; other columns of the table are
+never read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,9 +161,15 @@ class WordTokenizer:
     """A tokenizer file applied word by word: each distinct word is encoded once per task.
 
     Right for tokenizers whose normaliser and pre-tokenizer never look across white
-    space, as those that drop it; `check` compares a text encoded both ways.
+    space, as those that drop it. `check` compares texts encoded both ways: probes when the
+    file is loaded, and the first texts of each task. Where they differ, `by_word` is off and
+    all texts are encoded whole.
     """
 
+    #: Texts whose words would differ under tokenizers that look across white space.
+    PROBES = ("a", "a b", "a  b", " a", "a ", "a\tb\nc", "\n\na\n", "it's a 'b' c", "x ! y", "x, y. z", "1 2 3 456 7", "A b C", "\u00e9 e \u00e9", "\u4e2d \u6587 a", "a - b -- c", "the the the", "http://a.b c@d.e")
+    FIRST_ROWS, FIRST_BYTES = 32, 1 << 15
+
     CACHE_WORDS = 3_000_000
     apart = "a"  # stands in for words that hold a special token, which are encoded alone
 
@@ -173,6 +184,15 @@ class WordTokenizer:
         self.special = [t.content[:2] for t in added.values()]
         self.mark = next(((t.content, i) for i, t in sorted(added.items()) if " " not in t.content and self.tok.encode(f"a {t.content} a", add_special_tokens=False).ids.count(i) == 1), None)
         self._clear()
+        self.by_word = self.check(list(self.PROBES))
+        self.met = False
+
+    def check(self, texts: list[str]) -> bool:
+        """Whether these texts get the same ids word by word as whole."""
+        data, off = text_buffers(pa.array(texts, pa.string()))
+        ids, n = self._words(data, off)
+        whole = [self.tok.encode(t, add_special_tokens=False).ids for t in texts]
+        return n.tolist() == [len(w) for w in whole] and ids.tolist() == [i for w in whole for i in w]
 
     def _clear(self) -> None:
         self.known = np.zeros(0, np.uint64)
@@ -197,6 +217,18 @@ class WordTokenizer:
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, number of ids of each row)."""
+        texts = lambda rows: [data[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace") for r in rows]
+        if self.by_word and not self.met:
+            self.met = True
+            own = np.flatnonzero(np.diff(off))[: self.FIRST_ROWS]
+            self.by_word = self.check(texts(own[np.cumsum(np.diff(off)[own]) <= self.FIRST_BYTES]))
+        if self.by_word:
+            return self._words(data, off)
+        got = [e.ids for e in self.tok.encode_batch(texts(range(len(off) - 1)), add_special_tokens=False)]
+        return np.fromiter((i for g in got for i in g), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _words(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, word by word."""
         starts, ends, first = word_spans(data, off, NOT_SPACE)
         h = span_hashes(data, starts, ends)
         uniq, where, inv = np.unique(h, return_index=True, return_inverse=True)
@@ -253,6 +285,7 @@ def _packer(tokenizer_file: str, end_id: int):
         from pyspark import TaskContext
 
         tok, shard, segment = _tokenizer(tokenizer_file), TaskContext.get().partitionId(), 0
+        tok.met = False
         docs: list = []
         counts: list[np.ndarray] = []
         held: list[np.ndarray] = []

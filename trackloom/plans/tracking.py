@@ -1,6 +1,6 @@
 """The driver's tables seen as tracking data, and the same view as a SQL prefix.
 
-match = day, frame = minute of the day, track = user, side = user modulo 2, pitch
+match = day (since 1970), frame = minute of the day, track = user, side = user modulo 2, pitch
 coordinates from `value` and `props.k`. `ROWS` is the SQL that the oracles start from; it
 and `detections` must describe the same rows.
 """
@@ -22,7 +22,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     minute = F.hour("ts") * 60 + F.minute("ts")
     return e.select(
         "event_id",
-        F.dayofyear("ts").alias("match_id"),
+        F.unix_date(F.to_date("ts")).alias("match_id"),
         minute.cast("long").alias("frame"),
         F.col("user_id").alias("track_id"),
         F.when(F.col("user_id") % 2 == 0, "left").otherwise("right").alias("team"),
@@ -34,7 +34,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROWS = """
-d AS (SELECT event_id, CAST(dayofyear(ts) AS INTEGER) AS match_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS frame, user_id AS track_id,
+d AS (SELECT event_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS match_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS frame, user_id AS track_id,
   CASE WHEN user_id % 2 = 0 THEN 'left' ELSE 'right' END AS team, event_type AS kind, value / 490.0 * 105.0 - 52.5 AS x,
   CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 69 - 34 AS DOUBLE) AS y, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
 """

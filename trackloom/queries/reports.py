@@ -8,61 +8,10 @@ from pyspark.sql import functions as F
 from trackloom.functions import columns as X
 from trackloom.operators import aggregates as A
 from trackloom.operators import joins as J
-from trackloom.operators import report as R
 from trackloom.plans.tracking import ROWS, detections, table
 from trackloom.queries.registry import query
 
 
-def report_events(spark: SparkSession, sf: str) -> DataFrame:
-    """The tracking rows as report events with missing values of every sort."""
-    d, k = detections(spark, sf), F.col("k")
-    kind = F.when(F.col("kind") == "view", "pass").when(F.col("kind") == "click", "tackle").when(F.col("kind") == "signup", "interception").when(F.col("kind") == "purchase", "shot").otherwise("foul")
-    return d.select(
-        "match_id", F.col("event_id").cast("string").alias("event_id"), kind.alias("kind"), F.when(k % 11 != 0, F.col("team")).alias("team"),
-        F.when(k % 13 != 0, F.col("track_id").cast("string")).alias("player_id"), F.floor(F.col("frame") / 360).cast("int").alias("period"),
-        F.when(k % 5 != 0, k % 2 == 0).alias("outcome"), F.when(k % 17 != 0, F.col("x")).alias("x"), "y", F.when(k % 19 != 0, -F.col("x") * 0.5 + 10).alias("end_x"), (F.col("y") * 0.5).alias("end_y"),
-        X.direction(F.col("team")).alias("sign"), F.when(k % 3 == 0, "estimated").otherwise("verified").alias("status"),
-        F.create_map(F.lit("header"), k % 4 == 0, F.lit("cross"), F.when(k % 7 != 0, k % 9 == 0)).alias("flags"),
-    )
-
-
-_EV = f"""{ROWS}, ev AS (SELECT match_id, CAST(event_id AS VARCHAR) AS event_id, CASE kind WHEN 'view' THEN 'pass' WHEN 'click' THEN 'tackle' WHEN 'signup' THEN 'interception' WHEN 'purchase' THEN 'shot' ELSE 'foul' END AS kind, CASE WHEN k % 11 <> 0 THEN team END AS team,
-  CASE WHEN k % 13 <> 0 THEN CAST(track_id AS VARCHAR) END AS player_id, CAST(frame // 360 AS INTEGER) AS period, CASE WHEN k % 5 <> 0 THEN k % 2 = 0 END AS outcome, CASE WHEN k % 17 <> 0 THEN x END AS x, y, CASE WHEN k % 19 <> 0 THEN -x * 0.5 + 10 END AS end_x, y * 0.5 AS end_y,
-  CASE WHEN team = 'left' THEN 1 ELSE -1 END AS sg, CASE WHEN k % 3 = 0 THEN 'estimated' ELSE 'verified' END AS status, k FROM d),
-lo AS (SELECT *, x * sg AS ax, end_x * sg AS aex, sqrt((end_x - x) ** 2 + (end_y - y) ** 2) AS ln FROM ev),
-q AS (SELECT match_id, event_id, kind, team, player_id, period, outcome, status, m.metric, m.grp, CASE m.q WHEN '' THEN true WHEN 'header' THEN k % 4 = 0 WHEN 'cross' THEN CASE WHEN k % 7 <> 0 THEN k % 9 = 0 END WHEN 'forward' THEN CASE WHEN ln > 0 THEN (aex - ax) / ln ELSE ln END > 0.5
-  WHEN 'long' THEN ln > 40 WHEN 'medium' THEN ln BETWEEN 10 AND 40 WHEN 'own_half' THEN ax < 0 WHEN 'inside_box' THEN ax >= 36 AND abs(y) <= 20.16 WHEN 'yellow' THEN NULL
-  WHEN 'progressive' THEN sqrt((52.5 - ax) ** 2 + y ** 2) - sqrt((52.5 - aex) ** 2 + end_y ** 2) >= CASE WHEN ax < 0 AND aex < 0 THEN 30 WHEN ax < 0 AND aex >= 0 THEN 15 ELSE 10 END END AS qualifies
-  FROM lo JOIN (VALUES ('pass', 'pass', 'passing', ''), ('pass', 'pass_forward', 'passing', 'forward'), ('pass', 'pass_progressive', 'passing', 'progressive'), ('pass', 'pass_long', 'passing', 'long'), ('pass', 'pass_medium', 'passing', 'medium'), ('pass', 'pass_cross', 'passing', 'cross'), ('shot', 'shot', 'shooting', ''), ('shot', 'shot_header', 'shooting', 'header'), ('shot', 'shot_inside_box', 'shooting', 'inside_box'), ('tackle', 'tackle', 'defending', ''), ('tackle', 'tackle_own_half', 'defending', 'own_half'), ('foul', 'foul', 'discipline', ''), ('foul', 'foul_yellow', 'discipline', 'yellow')) m(kd, metric, grp, q) ON m.kd = lo.kind),
-n AS (SELECT match_id, kind, count(team) = count(*) AS tok, count(player_id) = count(*) AS pok FROM ev GROUP BY match_id, kind),
-z AS (SELECT 'team' AS scope, match_id, grp, metric, q.kind, team AS entity, CAST(NULL AS INTEGER) AS period, qualifies, outcome, status, event_id FROM q WHERE team IS NOT NULL UNION ALL SELECT 'player', match_id, grp, metric, q.kind, player_id, NULL, qualifies, outcome, status, event_id FROM q WHERE player_id IS NOT NULL UNION ALL SELECT 'period', match_id, grp, metric, q.kind, team, period, qualifies, outcome, status, event_id FROM q WHERE team IS NOT NULL),
-c AS (SELECT scope, z.match_id, grp, metric, entity, period, count(*) AS candidates, count(*) FILTER (qualifies) AS observed, count(*) FILTER (qualifies IS NULL) AS unknown, count(*) FILTER (status = 'estimated') AS estimated, count(*) FILTER (qualifies AND outcome IS NULL) AS no_outcome, count(*) FILTER (qualifies AND outcome) AS won,
-  bool_and(z.kind IN ('pass', 'shot') AND CASE WHEN scope = 'player' THEN pok ELSE tok END) AS complete FROM z JOIN n ON z.match_id = n.match_id AND z.kind = n.kind GROUP BY ALL)"""
-
-
-@query(f"""WITH {_EV} SELECT match_id, scope, entity, period, grp AS "group", metric, candidates, observed, unknown, CASE WHEN unknown = 0 THEN observed END AS value, CASE WHEN observed > 0 AND no_outcome = 0 AND unknown = 0 THEN won END AS successful,
-CASE WHEN unknown > 0 THEN 'unavailable' WHEN complete AND estimated = 0 THEN 'verified' WHEN estimated > 0 THEN 'estimated' ELSE 'partial' END AS state FROM c""")
-def period_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    """Tri-state metrics at team, player and period x team in one aggregate."""
-    shown = ["pass", "pass_forward", "pass_progressive", "pass_long", "pass_medium", "pass_cross", "shot", "shot_header", "shot_inside_box", "tackle", "tackle_own_half", "foul", "foul_yellow"]
-    out = R.rolled_up(report_events(spark, sf), ["pass", "shot"])
-    return out.where(F.col("metric").isin(shown)).drop("evidence")
-
-
-@query(None)
-def full_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """Every metric of the catalog with its evidence."""
-    return R.rolled_up(report_events(spark, sf), ["pass", "shot"])
-
-
-@query(f"""WITH {_EV}, own AS (SELECT match_id, team, count(*) AS actions FROM lo WHERE kind IN ('tackle', 'interception', 'foul') AND ax > -12.5 GROUP BY match_id, team), opp AS (SELECT match_id, team, count(*) AS passes FROM lo WHERE kind = 'pass' AND ax < 12.5 GROUP BY match_id, team),
-sd AS (SELECT DISTINCT match_id, team FROM lo WHERE team IS NOT NULL), kn AS (SELECT match_id, count(x) = count(*) AS spatial, count(DISTINCT team) AS sides FROM lo GROUP BY match_id)
-SELECT a.match_id, a.team, CASE WHEN spatial AND sides = 2 AND coalesce(actions, 0) > 0 THEN coalesce(passes, 0) / actions END AS ppda FROM sd a JOIN sd b ON a.match_id = b.match_id AND a.team <> b.team LEFT JOIN own ON own.match_id = a.match_id AND own.team = a.team LEFT JOIN opp ON opp.match_id = b.match_id AND opp.team = b.team JOIN kn ON kn.match_id = a.match_id""")
-def pressing(spark: SparkSession, sf: str) -> DataFrame:
-    """Passes per defensive action, NULL without full knowledge."""
-    return R.pressing(report_events(spark, sf))
-
-
 @query("SELECT o_custkey, CASE WHEN count(CASE WHEN o_orderkey % 50 <> 0 THEN o_totalprice END) = count(*) THEN sum(o_totalprice) END AS total FROM orders GROUP BY o_custkey")
 def all_or_nothing_sum(spark: SparkSession, sf: str) -> DataFrame:
     """NULL unless every row has the number."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators import cleaning as P
 from trackloom.operators import events_a as E
 from trackloom.operators import kernels as N
 from trackloom.operators import temporal as T
@@ -123,26 +124,19 @@ def touch_confidence(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def longest_reachable_run(spark: SparkSession, sf: str) -> DataFrame:
     """The longest physically possible chain of each segment."""
-    seg = T.gap_islands(ball(spark, sf), M, gap=50)
-    return N.clean_tracks(seg, ["match_id", "island"], 30.0, 5.0)
+    return P.clean_tracks(ball(spark, sf), M, P.Body(30.0, 5.0), gap=50).drop("interpolated")
 
 
 @query(None)
 def clean_ball(spark: SparkSession, sf: str) -> DataFrame:
-    """O2: segments, longest run, interpolation, smoothing, and the run again."""
-    seg = T.gap_islands(ball(spark, sf), M, gap=50)
-    keys = ["match_id", "island"]
-    clean = T.interpolate(N.clean_tracks(seg, keys, 30.0, 5.0), keys)
-    smooth = T.smooth_track(clean, keys).select(*keys, "frame", F.col("smooth_x").alias("x"), F.col("smooth_y").alias("y"))
-    return N.clean_tracks(smooth, keys, 30.0, 5.0)
+    """O2: segments, longest run, interpolation, smoothing, and the run again, in one pass."""
+    return P.clean_tracks(ball(spark, sf), M, P.Body(30.0, 5.0), gap=50, fill=12, smooth=True, again=True)
 
 
 @query(None)
 def clean_players(spark: SparkSession, sf: str) -> DataFrame:
-    """O3: player tracks without interpolation."""
-    keys = ["match_id", "track_id", "island"]
-    seg = T.gap_islands(track_points(spark, sf), ["match_id", "track_id"], gap=240)
-    return T.smooth_track(N.clean_tracks(seg, keys, 11.0, 25.0, lookback=240), keys).select(*keys, "frame", "smooth_x", "smooth_y")
+    """O3: player tracks without interpolation; segments of two samples stay whole."""
+    return P.clean_tracks(track_points(spark, sf), ["match_id", "track_id"], P.Body(11.0, 25.0, lookback=240), gap=240, smooth=True, least=3).drop("interpolated")
 
 
 @query(None)

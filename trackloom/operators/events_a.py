@@ -83,17 +83,114 @@ def suppress_duels(events: DataFrame, keys: Keys, fps: float, window_s: float =
     return turn.groupBy(*keys).applyInPandas(fold, turn.schema).unionByName(events.where("kind = 'pass'"))
 
 
-def tallies(events: DataFrame, keys: Keys) -> DataFrame:
-    """Per player: passes, completed, received, tackles, dispossessed, interceptions, losses.
+# What a player's tally counts, in the order of the report.
+TALLY = ("touches", "passes", "passes_completed", "passes_received", "progressive_passes", "passes_into_final_third", "losses", "interceptions", "tackles", "dispossessed", "shots", "shots_on_target", "goals", "assists", "carries", "carry_distance_m", "possession_time_s")
 
-    An interception is also a failed pass and a loss of the one who gave the ball away; a
-    tackle is a loss and a dispossession, not a pass.
+
+def tallies(s: DataFrame, turns: DataFrame, struck: DataFrame, goals: DataFrame, keys: Keys, fps: float, owner: str = "owner", carry_m: float = 4.0) -> DataFrame:
+    """Per player: the counters of TALLY and pass_accuracy (NULL without passes).
+
+    s: spells; turns: passes, tackles and interceptions (kind, a, b, progressive,
+    into_final_third) after suppression of repeated duels; struck: shots (player,
+    on_target); goals: (scorer, assist), either NULL where unknown. An interception is
+    also a failed pass and a loss of the one who gave the ball away; a tackle is a loss and a
+    dispossession, not a pass. One union of sparse rows, one aggregate.
     """
-    one = lambda who, name: F.struct(F.col(who).alias("player"), F.lit(name).alias("what"))
-    gives = F.when(F.col("kind") == "pass", F.array(one("a", "passes"), one("a", "completed"), one("b", "received"))).when(F.col("kind") == "tackle", F.array(one("b", "tackles"), one("a", "dispossessed"), one("a", "losses"))).otherwise(F.array(one("b", "interceptions"), one("a", "passes"), one("a", "losses")))
-    rows = events.select(*keys, F.explode(gives).alias("e")).select(*keys, "e.player", "e.what")
-    names = ["passes", "completed", "received", "tackles", "dispossessed", "interceptions", "losses"]
-    return rows.groupBy(*keys, "player").agg(*[F.count_if(F.col("what") == n).alias(n) for n in names])
+    zero = lambda **has: [has.get(c, F.lit(0)).cast("double").alias(c) for c in TALLY]
+    one = F.lit(1)
+    far = X.distance(F.col("start_point.x"), F.col("start_point.y"), F.col("end_point.x"), F.col("end_point.y"))
+    carried = F.coalesce(far >= carry_m, F.lit(False))
+    held = s.select(*keys, F.col(owner).alias("player"), *zero(touches=one, possession_time_s=(F.col("end_frame") - F.col("start_frame") + 1) / fps, carries=carried.cast("int"), carry_distance_m=F.when(carried, far).otherwise(0.0)))
+    is_ = lambda k: (F.col("kind") == k).cast("int")
+    flag = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)) * is_("pass")
+    gave = turns.select(*keys, F.col("a").alias("player"), *zero(passes=is_("pass") + is_("interception"), passes_completed=is_("pass"), progressive_passes=flag("progressive"), passes_into_final_third=flag("into_final_third"), losses=is_("tackle") + is_("interception"), dispossessed=is_("tackle")))
+    got = turns.select(*keys, F.col("b").alias("player"), *zero(passes_received=is_("pass"), tackles=is_("tackle"), interceptions=is_("interception")))
+    shot = struck.select(*keys, "player", *zero(shots=one, shots_on_target=F.col("on_target").cast("int")))
+    scored = goals.where("scorer is not null").select(*keys, F.col("scorer").alias("player"), *zero(goals=one))
+    helped = goals.where("assist is not null").select(*keys, F.col("assist").alias("player"), *zero(assists=one))
+    rows = held.unionByName(gave).unionByName(got).unionByName(shot).unionByName(scored).unionByName(helped)
+    return _summed(rows, [*keys, "player"])
+
+
+def _summed(rows: DataFrame, by: Keys) -> DataFrame:
+    whole = lambda c: F.sum(c) if c in ("carry_distance_m", "possession_time_s") else F.sum(c).cast("long")
+    out = rows.groupBy(*by).agg(*[whole(c).alias(c) for c in TALLY])
+    return out.withColumn("pass_accuracy", F.when(F.col("passes") > 0, F.col("passes_completed") / F.col("passes")))
+
+
+def team_tallies(players: DataFrame, members: DataFrame, keys: Keys) -> DataFrame:
+    """Tallies of teams: sums over their members (keys, player, team); accuracy from the sums."""
+    return _summed(players.join(members, [*keys, "player"]), [*keys, "team"])
+
+
+# ------------------------------------------------------------------ blocks of a second ledger
+def on_ball(events: DataFrame, keys: Keys, who: str = "player") -> DataFrame:
+    """Touches, receptions, carries and shots of a ledger (type, duration_s, contested, in_box, distance_m, progressive_m, progressive) per player."""
+    is_ = lambda k: F.col("type") == k
+    yes = lambda k, c: F.count_if(is_(k) & F.coalesce(F.col(c), F.lit(False)))
+    total = lambda k, v: F.coalesce(F.sum(F.when(is_(k), v)), F.lit(0.0))
+    return events.groupBy(*keys, who).agg(
+        F.count_if(is_("touch")).alias("touches"), yes("touch", "contested").alias("touches_contested"), total("touch", F.col("duration_s")).alias("time_on_ball_s"),
+        F.count_if(is_("reception")).alias("receptions"), yes("reception", "in_box").alias("receptions_in_box"), F.count_if(is_("carry")).alias("carries"),
+        total("carry", F.coalesce("distance_m", F.lit(0.0))).alias("carry_distance_m"), total("carry", F.greatest(F.coalesce("progressive_m", F.lit(0.0)), F.lit(0.0))).alias("carry_progressive_m"),
+        yes("carry", "progressive").alias("progressive_carries"), F.count_if(is_("shot")).alias("shots"),
+    )
+
+
+def passing(events: DataFrame, keys: Keys, who: str = "player", long_m: float = 25.0) -> DataFrame:
+    """Passes of a ledger (type, outcome, length_m, progressive_m, forward, progressive, into_final_third, into_box) per player; progress counts completed ones only."""
+    p = events.where("type = 'pass'")
+    yes = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    done, length = F.col("outcome") == "complete", F.coalesce("length_m", F.lit(0.0))
+    return p.groupBy(*keys, who).agg(
+        F.count("*").alias("attempted"), F.count_if(done).alias("completed"), (F.count_if(done) / F.count("*")).alias("accuracy"), yes("forward").alias("forward"), yes("progressive").alias("progressive"),
+        F.sum(F.when(done, F.greatest(F.coalesce("progressive_m", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)).alias("progressive_m"), yes("into_final_third").alias("into_final_third"), yes("into_box").alias("into_box"),
+        F.avg(length).alias("avg_length_m"), F.count_if(length >= long_m).alias("long_passes"), F.sum(length).alias("total_length_m"),
+    )
+
+
+def defensive(events: DataFrame, keys: Keys, who: str = "player") -> DataFrame:
+    """Losses, recoveries, interceptions, challenges and lost challenges of a ledger per player."""
+    n = lambda k: F.count_if(F.col("type") == k)
+    return events.groupBy(*keys, who).agg(n("loss").alias("losses"), n("recovery").alias("recoveries"), n("interception").alias("interceptions"), n("challenge").alias("challenges"), F.count_if((F.col("type") == "challenge") & (F.col("outcome") == "lost")).alias("challenges_lost"))
+
+
+# Types of events that have a player on the ball.
+ON_BALL = ("touch", "carry", "pass", "reception", "loss", "recovery", "interception", "challenge", "shot")
+
+
+def identification(players: DataFrame, events: DataFrame, keys: Keys) -> DataFrame:
+    """How much of a report is about players with a number: players (keys, player, number, role), events (keys, player, type)."""
+    known = players.where("role <> 'referee'").withColumn("named", F.col("number").isNotNull())
+    heads = known.groupBy(*keys).agg(F.count_if("named").alias("identified_players"), F.count_if(~F.col("named")).alias("anonymous_fragments"))
+    on = events.where(F.col("player").isNotNull() & F.col("type").isin(list(ON_BALL))).join(known.select(*keys, "player", "named"), [*keys, "player"], "left")
+    share = on.groupBy(*keys).agg(F.count("*").alias("on_ball_events"), F.count_if(F.coalesce("named", F.lit(False))).alias("attributed"))
+    out = heads.join(share, list(keys), "left").fillna(0, ["on_ball_events", "attributed"])
+    return out.withColumn("attributed_share", F.when(F.col("on_ball_events") > 0, F.col("attributed") / F.col("on_ball_events")))
+
+
+def side_totals(events: DataFrame, keys: Keys) -> DataFrame:
+    """Per side: possession time, its share of all sides' (1 s stands in for none at all), phases, touches, passes, accuracy and shots."""
+    n = lambda k: F.count_if(F.col("type") == k)
+    done = F.count_if((F.col("type") == "pass") & (F.col("outcome") == "complete"))
+    g = events.groupBy(*keys, "team").agg(F.coalesce(F.sum(F.when(F.col("type") == "phase", F.col("duration_s"))), F.lit(0.0)).alias("possession_s"), n("phase").alias("phases"), n("touch").alias("touches"), n("pass").alias("passes"), done.alias("_done"), n("shot").alias("shots"))
+    total = F.sum("possession_s").over(Window.partitionBy(*keys))
+    g = g.withColumn("possession_share", F.col("possession_s") / F.when(total > 0, total).otherwise(1.0)).withColumn("pass_accuracy", F.when(F.col("passes") > 0, F.col("_done") / F.col("passes")))
+    return g.where("team is not null").drop("_done")
+
+
+def standing_score(timeline: DataFrame, keys: Keys) -> DataFrame:
+    """The last score that the board showed (frame, home, away; unknown counts 0); of equal frames the first row by `row`."""
+    return timeline.groupBy(*keys).agg(F.max_by(F.struct(F.coalesce("home", F.lit(0)).alias("home"), F.coalesce("away", F.lit(0)).alias("away"), "frame"), F.struct(F.coalesce("frame", F.lit(0)), -F.col("row"))).alias("s")).select(*keys, "s.home", "s.away", "s.frame")
+
+
+def score_of_goals(goals: DataFrame, matches: DataFrame, board: DataFrame, keys: Keys) -> DataFrame:
+    """Goals by side within the footage, and where a score comes from: the board, the ball, or nowhere."""
+    n = goals.groupBy(*keys).agg(F.count_if(F.col("team") == "left").alias("left"), F.count_if(F.col("team") == "right").alias("right"), F.count("*").alias("goals"))
+    shown = board.select(*keys).distinct().withColumn("shown", F.lit(True))
+    out = matches.join(n, list(keys), "left").join(shown, list(keys), "left").fillna(0, ["left", "right", "goals"])
+    source = F.when(F.col("shown"), "scoreboard").when(F.col("goals") > 0, "ball_position").otherwise("none")
+    return out.select(*keys, "left", "right", source.alias("source"))
 
 
 def shots(s: DataFrame, ball: DataFrame, keys: Keys, fps: float, owner: str = "owner", speed: float = 12.0, min_x: float = 15.0, half_goal: float = 3.66, margin: float = 5.0, reach_s: float = 3.0, window: int = 10) -> DataFrame:
@@ -103,8 +200,11 @@ def shots(s: DataFrame, ball: DataFrame, keys: Keys, fps: float, owner: str = "o
     j = J.asof_forward(ends, ball.select(*keys, "frame", "x", "y"), keys, window=window)
     v = X.distance(F.col("from_x"), F.col("from_y"), F.col("to_x"), F.col("to_y")) / ((F.col("to_frame") - F.col("from_frame")) / fps)
     j = j.withColumn("ball_speed", F.when(F.col("to_frame") > F.col("from_frame"), v).otherwise(0.0))
-    after = ball.select(*keys, F.col("frame").alias("bf"), F.struct("x", "y").alias("bp"))
-    last = ends.select(*keys, "frame", "until").join(after, list(keys)).where("bf > frame and bf <= until").groupBy(*keys, "frame").agg(F.max_by("bp", "bf").alias("last"))
+    # the last ball row up to `until`: ball rows and deadlines in one order, no join of both
+    seen = ball.select(*keys, F.col("frame").alias("at"), F.lit(0).alias("mark"), F.struct("frame", "x", "y").alias("b"), F.lit(None).cast("long").alias("own"))
+    marks = seen.unionByName(ends.select(*keys, F.col("until").alias("at"), F.lit(1).alias("mark"), F.lit(None).cast(seen.schema["b"].dataType).alias("b"), F.col("frame").cast("long").alias("own")))
+    upto = Window.partitionBy(*keys).orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    last = marks.withColumn("b", F.last("b", ignorenulls=True).over(upto)).where("mark = 1 and b.frame > own").select(*keys, F.col("own").alias("frame"), F.struct("b.x", "b.y").alias("last"))
     sign = X.direction(F.col("team"))
     out = j.join(last, [*keys, "frame"])
     offset = X.goal_line_offset(F.coalesce("from_x", "end_point.x"), F.coalesce("from_y", "end_point.y"), F.col("last.x"), F.col("last.y"), sign)

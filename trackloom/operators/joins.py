@@ -56,12 +56,19 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: Keys, frame: str = "fr
     return out
 
 
-def overlap_pairs(spans: DataFrame, keys: Keys, ident: str, start: str, end: str, more_than: float) -> DataFrame:
-    """Pairs a < b of spans of a key that overlap by more than a given amount."""
-    a = spans.select(*keys, F.col(ident).alias("a"), F.col(start).alias("sa"), F.col(end).alias("ea"))
-    b = spans.select(*keys, F.col(ident).alias("b"), F.col(start).alias("sb"), F.col(end).alias("eb"))
+def overlap_pairs(spans: DataFrame, keys: Keys, ident: str, start: str, end: str, more_than: float, bucket: int = 1024) -> DataFrame:
+    """Pairs a < b of spans of a key that overlap by more than a given amount, which is at least 0.
+
+    Spans stand in the buckets of time that they touch; a pair is found in the one bucket
+    where the later of the two starts, so it comes once, and spans far apart never meet.
+    """
+    cell = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    rows = spans.select(*keys, F.col(ident).alias("id"), F.col(start).alias("s"), F.col(end).alias("e")).where("e >= s")
+    rows = rows.withColumn("_b", F.explode(F.sequence(cell("s"), cell("e"))))
+    a, b = (rows.select(*keys, "_b", F.col("id").alias(n), F.col("s").alias(f"s{n}"), F.col("e").alias(f"e{n}")) for n in "ab")
     both = F.least("ea", "eb") - F.greatest("sa", "sb")
-    return a.join(b, list(keys)).where("a < b").withColumn("overlap", both).where(F.col("overlap") > more_than).select(*keys, "a", "b", "overlap")
+    once = F.floor(F.greatest("sa", "sb") / bucket) == F.col("_b")
+    return a.join(b, [*keys, "_b"]).where(F.col("a") < F.col("b")).where(once).withColumn("overlap", both).where(F.col("overlap") > more_than).select(*keys, "a", "b", "overlap")
 
 
 def in_periods(events: DataFrame, periods: DataFrame, keys: Keys) -> DataFrame:

@@ -41,6 +41,33 @@ def outside(df: DataFrame, allowed: DataFrame, keys: Sequence[str]) -> DataFrame
     return df.join(allowed.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def roster_problems(rosters: DataFrame) -> DataFrame:
+    """roster, team, problem of team sheets (roster, team, short, numbers, names, goalkeepers, starters: arrays of strings).
+
+    Numbers are 0 to 99, names are not empty, goalkeepers and starters are among the
+    players, starters are none or eleven different ones, and a match has two different teams.
+    """
+    plain = lambda c: F.transform(c, lambda n: F.trim(n).try_cast("int"))
+    bad = F.exists("numbers", lambda n: ~F.trim(n).rlike("^[0-9]+$") | (F.coalesce(F.trim(n).try_cast("int"), F.lit(-1)) > 99) | F.trim(n).try_cast("int").isNull())
+    missing = lambda c: F.size(F.array_except(plain(c), plain("numbers"))) > 0
+    starters = F.size(F.array_distinct(plain("starters")))
+    w = Window.partitionBy("roster")
+    teams = F.size(F.collect_set(F.lower("team")).over(w)) != 2
+    shorts = F.size(F.collect_set(F.upper("short")).over(w)) != 2
+    rules = [("invalid number", bad), ("empty name", F.exists("names", lambda n: F.trim(n) == "")), ("goalkeeper is no player", missing("goalkeepers")), ("starter is no player", missing("starters")), ("not eleven starters", (F.size("starters") > 0) & (starters != 11)), ("not two different teams", teams | shorts)]
+    rows = rosters.select("roster", "team", F.array(*[F.when(rule, F.lit(name)) for name, rule in rules]).alias("p"))
+    return rows.select("roster", "team", F.explode(F.array_compact("p")).alias("problem"))
+
+
+def known_labels_only(rows: DataFrame, labels: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """rows, whose labels fail the read where they are not among the known ones: an unknown label is an error, never a class of its own."""
+    out = rows
+    for c in columns:
+        strange = F.col(c).isNotNull() & ~F.col(c).isin(list(labels))
+        out = out.withColumn(c, F.when(strange, F.raise_error(F.concat(F.lit(f"unknown label in {c}: "), F.col(c)))).otherwise(F.col(c)))
+    return out
+
+
 def require_empty(df: DataFrame, what: str) -> None:
     """Raise if there is any row; looks at one row only."""
     first = df.limit(1).collect()

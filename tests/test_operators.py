@@ -73,10 +73,7 @@ def test_the_ladder_of_pairs(spark):
     assert pair(spark, "left", 26.0, gap=200)[0]["kind"] is None  # too long a flight
 
 
-def test_unknown_is_not_zero(spark):
-    ev = spark.createDataFrame([("a", "1", True, True, "verified"), ("a", "2", None, None, "verified"), ("b", "3", False, None, "verified")], "team string, event_id string, qualifies boolean, outcome boolean, status string")
-    got = {r["team"]: (r["value"], r["state"]) for r in A.metric_cells(ev, ["team"], F.lit(True)).collect()}
-    assert got == {"a": (None, "unavailable"), "b": (0, "verified")}
+def test_all_or_nothing(spark):
     assert spark.createDataFrame([(1, 2.0), (1, None), (2, 3.0)], "k int, v double").groupBy("k").agg(A.all_or_nothing("v").alias("s")).orderBy("k").collect() == [(1, None), (2, 3.0)]
 
 

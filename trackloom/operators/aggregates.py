@@ -109,30 +109,6 @@ def frame_validity(stats: DataFrame, keys: Keys, most_outside: float = 0.25, lea
     return s.withColumn("reason", reason)
 
 
-def metric_cells(events: DataFrame, keys: Keys, complete: Column) -> DataFrame:
-    """Tri-state metric per key from rows (keys, qualifies boolean NULL = unknown, outcome, status, event_id).
-
-    value: rows that qualify, if the kind is certified complete or has any row, and nothing
-    is unknown; otherwise NULL, never 0. complete: whether the kind is complete.
-    """
-    q = F.col("qualifies")
-    g = events.groupBy(*keys).agg(
-        F.count("event_id").alias("candidates"),
-        F.count_if(q).alias("observed"),
-        F.count_if(F.col("event_id").isNotNull() & q.isNull()).alias("unknown"),
-        F.count_if(F.col("status") == "estimated").alias("estimated"),
-        F.count_if(q & F.col("outcome").isNull()).alias("no_outcome"),
-        F.count_if(q & F.col("outcome")).alias("won"),
-        F.max(complete).alias("complete"),
-        F.array_sort(F.collect_list(F.when(q, F.col("event_id")))).alias("evidence"),
-    )
-    value = F.when(((F.col("candidates") > 0) | F.col("complete")) & (F.col("unknown") == 0), F.col("observed"))
-    g = g.withColumn("value", value)
-    successful = F.when((F.col("observed") > 0) & (F.col("no_outcome") == 0) & F.col("value").isNotNull(), F.col("won"))
-    status = F.when(F.col("value").isNull(), "unavailable").when(F.col("complete") & (F.col("estimated") == 0), "verified").when(F.col("estimated") > 0, "estimated").otherwise("partial")
-    return g.withColumn("successful", successful).withColumn("success_pct", F.when(F.col("value") > 0, 100.0 * F.col("successful") / F.col("value"))).withColumn("state", status)
-
-
 def all_or_nothing(measure: str) -> Column:
     """Sum that is NULL unless every row has the number."""
     return F.when(F.count(measure) == F.count("*"), F.sum(measure))

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 Keys = Sequence[str]
 
 
-def nearest_within(points: DataFrame, others: DataFrame, keys: Keys, radius: float | Column, order: str, inclusive: bool = False) -> DataFrame:
-    """For each point (keys, x, y) the nearest other (keys, ox, oy, `order`) within a radius; ties: the smallest `order`."""
+def nearest_within(points: DataFrame, others: DataFrame, keys: Keys, radius, order: str, inclusive: bool = False, by: Keys = ()) -> DataFrame:
+    """For each point (keys, x, y) the nearest other (keys, ox, oy, `order`) within a radius, a number or a column of the point; ties: the smallest `order`.
+
+    by: columns that tell points of the same keys apart.
+    """
     d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
     pairs = points.join(others, list(keys)).withColumn("dist", d)
     pairs = pairs.where(F.col("dist") <= radius if inclusive else F.col("dist") < radius)
-    return pairs.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("dist", order))).where("_rn = 1").drop("_rn")
+    return pairs.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, *by).orderBy("dist", order))).where("_rn = 1").drop("_rn")
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, keys: Keys, frame: str = "frame", reach: int = 3, ident: Keys = ()) -> DataFrame:

@@ -170,12 +170,14 @@ def completeness(fine: DataFrame, kinds: Sequence[str]) -> DataFrame:
     return named.where(F.col("kind").isin(list(kinds)))
 
 
-def rolled_up(events: DataFrame, complete_kinds: Sequence[str], config: Config | None = None) -> DataFrame:
+def rolled_up(events: DataFrame, complete_kinds: Sequence[str], config: Config | None = None, teams: DataFrame | None = None, periods: DataFrame | None = None) -> DataFrame:
     """All metrics and measures at team, player and period x team: match_id, scope, entity, period, group, metric, value,
     observed, unknown, successful, success_pct, state, unit.
 
     value is NULL (state: unavailable) where a qualifier is unknown, or where no event of
-    the kind is seen and the kind is not certified as complete; such kinds count 0.
+    the kind is seen and the kind is not certified as complete; certified kinds count 0.
+    teams (match_id, team) are reported whether or not they have events, and in all of
+    periods (match_id, period) if these are given.
     """
     config = config or Config()
     fine = counted(events, config)
@@ -186,7 +188,13 @@ def rolled_up(events: DataFrame, complete_kinds: Sequence[str], config: Config |
     scope = F.when(F.col("no_player") == 0, "player").when(F.col("no_period") == 0, "period").otherwise("team")
     rolled = rolled.withColumn("scope", scope).withColumn("entity", F.coalesce("player_id", "team")).where("entity is not null")
     rolled = rolled.drop("no_player", "no_period", "team", "player_id")
-    who = rolled.select("match_id", "scope", "entity", "period").distinct()
+    who = rolled.select("match_id", "scope", "entity", "period")
+    if teams is not None:
+        named = teams.select("match_id", F.lit("team").alias("scope"), F.col("team").alias("entity"), F.lit(None).cast("int").alias("period"))
+        who = who.unionByName(named)
+        if periods is not None:
+            who = who.unionByName(named.drop("period").join(periods.select("match_id", F.col("period").cast("int").alias("period")), "match_id").withColumn("scope", F.lit("period")))
+    who = who.distinct()
     # every entity reports every metric, seen or not; the catalogue is a constant of some 80 rows
     names = ("group", "metric", "kind", "slot", "measure", "mean", "unit", "decimals")
     spec = lambda r: F.struct(*[F.lit(v).alias(c) for v, c in zip(r, names, strict=True)])

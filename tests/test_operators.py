@@ -130,7 +130,7 @@ def stream(spark, tmp_path, name, df, build, mode="append"):
     df.write.parquet(path)
     s = spark.readStream.schema(df.schema).parquet(path)
     q = build(s).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(100)
     assert q.exception() is None
     return spark.table(name)
 
@@ -141,10 +141,10 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     got = rows(stream(spark, tmp_path, "tumble", ev, build).select("k", F.col("w.start").cast("string").alias("w"), "n"), "k", "w", "n")
     assert got[0] == (1, "2024-01-01 00:00:00", 5)
     pts = spark.createDataFrame([(1, f, float(f), 0.0, 1.0) for f in range(1, 6)] + [(1, 3, 90.0, 0.0, 0.5)], "match_id int, frame long, x double, y double, score double")
-    got = rows(stream(spark, tmp_path, "gate", pts, lambda d: online.gate(d, 30.0, 25.0)), "frame", "x")
+    got = rows(stream(spark, tmp_path, "gate", pts, lambda d: online.gate(d, 30.0, 25.0, idle_ms=None)), "frame", "x")
     assert got == [(f, float(f)) for f in range(1, 6)]
     dets = spark.createDataFrame([(1, f, f * 10 + k, 10.0 * k * 20 + f, 0.0, 20.0, 40.0, 0.9) for f in range(1, 5) for k in range(2)], "match_id int, frame long, det long, bx double, by double, bw double, bh double, score double")
-    got = rows(stream(spark, tmp_path, "tracks", dets, online.track), "frame", "det", "track_id")
+    got = rows(stream(spark, tmp_path, "tracks", dets, lambda d: online.track(d, idle_ms=None)), "frame", "det", "track_id")
     assert got == rows(online.track_batch(dets), "frame", "det", "track_id") and {t for _, _, t in got} == {1, 2}
 
 

@@ -266,6 +266,18 @@ def run_transitions(runs: DataFrame, keys: Keys, fps: float, travel_m: float = 6
     return out.withColumn("event_id", F.format_string("%s_%06d", F.col("kind"), F.row_number().over(order)))
 
 
+def trailing_shots(runs: DataFrame, ball: DataFrame, keys: Keys, fps: float, shot_speed: float = 12.0, least_rows: int = 3, final_third: float = 17.5, near_goal: float = 40.5, half_width: float = 12.0) -> DataFrame:
+    """A match's last held run ends in a shot if the ball, over its last rows (`least_rows` or more), flies like one: the footage ends before the outcome (confidence 0.35)."""
+    last = runs.where("holder <> -1").groupBy(*keys).agg(F.max_by(F.struct("holder", "team", "end_frame", "end_point"), "start_frame").alias("r"))
+    tail = ball.join(last, list(keys)).where(F.col("frame") >= F.col("r.end_frame")).groupBy(*keys).agg(F.count("*").alias("rows"), F.max_by(F.struct("frame", "x", "y"), "frame").alias("e"))
+    t = last.join(tail, list(keys)).where(F.col("rows") >= least_rows)
+    seconds = (F.col("e.frame") - F.col("r.end_frame")) / fps
+    travel = X.distance(F.col("r.end_point.x"), F.col("r.end_point.y"), F.col("e.x"), F.col("e.y"))
+    sign, from_x = X.direction(F.col("r.team")), F.col("r.end_point.x")
+    shot = (seconds > 0) & (travel / seconds >= shot_speed) & (F.col("e.x") * sign > from_x * sign) & (F.abs("e.x") > near_goal) & (F.abs("e.y") < half_width) & (from_x * sign > final_third)
+    return t.where(shot).select(*keys, F.lit("shot").alias("kind"), F.col("r.holder").alias("player"), F.col("r.end_frame").alias("frame"), travel.alias("travel"), F.lit(0.35).alias("confidence"))
+
+
 def phases(runs: DataFrame, keys: Keys) -> DataFrame:
     """Phases of a side (NULL or nobody's: loose ball); a phase ends where the next one starts, the last at its own end."""
     r = runs.withColumn("side", F.when(F.col("holder") != -1, F.col("team")))

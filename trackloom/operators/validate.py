@@ -16,6 +16,12 @@ def _rules(*pairs: tuple[str, str]) -> list[tuple[str, str]]:
 
 #: (what is wrong, SQL predicate that holds where it is).
 EVENT_RULES = _rules(("ends before it starts", "end_ms < start_ms"), ("confidence out of range", "confidence < 0 or confidence > 1"))
+REPORT_RULES = _rules(
+    ("negative time", "timestamp_ms < 0"), ("ends before it starts", "end_ms < timestamp_ms"), ("empty evidence", "size(evidence_ids) = 0 or exists(evidence_ids, e -> trim(e) = '')"),
+    ("not finite", "exists(map_values(numbers), v -> isnan(v) or abs(v) = double('infinity'))"), ("negative measure", "numbers['distance_m'] < 0 or numbers['xg'] < 0 or numbers['xa'] < 0"),
+    ("expected value above 1", "numbers['xg'] > 1 or numbers['xa'] > 1"), ("confidence out of range", "confidence < 0 or confidence > 1"), ("confidence without its kind", "confidence is not null and confidence_kind is null"),
+)
+SEMANTIC_RULES = _rules(("ends before it starts", "end_ms < start_ms"), ("insufficient evidence names an event", "insufficient_evidence and event <> 'unknown'"), ("timestamps out of order", "exists(zip_with(slice(times, 1, size(times) - 1), slice(times, 2, size(times) - 1), (a, b) -> a > b), x -> x)"))
 ROSTER_RULES = _rules(("number out of range", "number < 0 or number > 99"), ("keeper not in the squad", "is_keeper and name is null"))
 INTERVAL_RULES = _rules(("interval too short", "end_s - start_s < 0.2"), ("negative start", "start_s < 0"))
 

@@ -242,6 +242,14 @@ def run_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return E.run_transitions(_runs(spark, sf), M, 2.0).select("match_id", "kind", F.col("player").cast("long"), "frame", "outcome")
 
 
+@query(f"""WITH {_RUNS}, la AS (SELECT * FROM (SELECT match_id, holder, team, end_frame, ex, ey, row_number() OVER (PARTITION BY match_id ORDER BY start_frame DESC) AS rn FROM runs WHERE holder <> -1) WHERE rn = 1), ta AS (SELECT match_id, count(*) AS n, max(b.frame) AS f, arg_max(b.x, b.frame) AS x, arg_max(b.y, b.frame) AS y FROM b JOIN la USING (match_id) WHERE b.frame >= la.end_frame GROUP BY match_id), j AS (SELECT la.*, n, f, x, y, sqrt((x - ex) ** 2 + (y - ey) ** 2) AS travel, CASE WHEN team = 'left' THEN 1 ELSE -1 END AS sg FROM la JOIN ta USING (match_id) WHERE n >= 2)
+SELECT match_id, 'shot' AS kind, holder AS player, end_frame AS frame, travel, 0.35 AS confidence FROM j WHERE f > end_frame AND travel / ((f - end_frame) / 2.0) >= 0.5 AND x * sg > ex * sg AND abs(x) > 0 AND abs(y) < 40 AND ex * sg > -60""")
+def trailing_shots(spark: SparkSession, sf: str) -> DataFrame:
+    """A shot after which the footage ends."""
+    out = E.trailing_shots(_runs(spark, sf), ball(spark, sf), M, 2.0, shot_speed=0.5, least_rows=2, final_third=-60.0, near_goal=0.0, half_width=40.0)
+    return out.withColumn("player", F.col("player").cast("long"))
+
+
 @query(f"WITH {_RUNS} SELECT match_id, holder, start_frame, 0.35 + 0.45 * (1 - least(mean_dist / 2.5, 1)) + 0.2 * least((end_frame - start_frame + 1) / 2.0 / 2.0, 1) AS confidence FROM runs WHERE holder <> -1")
 def touch_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Confidence of touches."""

@@ -176,25 +176,32 @@ APPLIED = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string,
 def _applier(with_text: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, maps = (batch.column(c).to_pylist() for c in range(3))
-            n_lines, n_dropped, sha, kept = [], [], [], []
-            for t, m in zip(texts, maps, strict=True):
-                parts = (t or "").split("\n")
-                keep = kept_lines(m, len(parts))
-                stay = int(keep.sum())
-                text = (t or "") if stay == len(parts) else "\n".join(p for p, k in zip(parts, keep, strict=True) if k)
-                n_lines.append(len(parts))
-                n_dropped.append(len(parts) - stay)
-                sha.append(hashlib.sha256(text.encode()).hexdigest())
-                kept.append(text if with_text else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha), batch.column(2), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "keep", "text"])
+            _, off = text_buffers(batch.column(1))
+            for lo, hi in chunks(off, 1 << 22):
+                part = batch.slice(lo, hi - lo)
+                n_lines, n_dropped, sha, keeps, kept = [], [], [], [], []
+                for t, m in zip(part.column(1), part.column(2), strict=True):
+                    text, m = t.as_py() or "", m.as_py()
+                    n = text.count("\n") + 1
+                    stay = n
+                    if m is not None:
+                        keep = kept_lines(m, n)
+                        stay = int(keep.sum())
+                        if stay < n:
+                            text = "\n".join(p for p, k in zip(text.split("\n"), keep, strict=True) if k)
+                    n_lines.append(n)
+                    n_dropped.append(n - stay)
+                    sha.append(hashlib.sha256(text.encode()).hexdigest())
+                    keeps.append(packed(np.ones(n, bool)) if m is None and with_text else m)
+                    kept.append(text if with_text else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha), pa.array(keeps, pa.binary()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "keep", "text"])
 
     return apply
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Per document row: doc_id, n_lines, n_dropped, kept_sha256, keep (its bitmap) and, if asked for, the kept text."""
+    """Per document row: doc_id, n_lines, n_dropped, kept_sha256 and, if asked for, keep (its bitmap) and the kept text."""
     rows = _keyed(docs, id_col, text_col)
-    # one plan at every size: texts and bitmaps meet by a merge join, whether or not some bitmaps would fit a broadcast
-    own = bitmaps.select("row_key", "keep").dropDuplicates(["row_key"])
-    return rows.join(own.hint("merge"), "row_key").select("doc_id", "text", "keep").mapInArrow(_applier(with_text), APPLIED)
+    # one plan at every size: texts meet the bitmaps that drop something by a merge join, whether or not these would fit a broadcast
+    own = bitmaps.where("n_dropped > 0").select("row_key", "keep").dropDuplicates(["row_key"])
+    return rows.join(own.hint("merge"), "row_key", "left").select("doc_id", "text", "keep").mapInArrow(_applier(with_text), APPLIED)

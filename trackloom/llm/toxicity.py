@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import LOWER, WORDLIKE, Workspace, chunks, source_columns, span_hashes, text_buffers, word_spans
+from trackloom.llm.common import LOWER, WORDLIKE, Workspace, chunks, mix, source_columns, span_hashes, text_buffers, word_spans
 
 BEGIN = np.uint64(0)
 #: Margins that are tried.
 MARGINS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
 #: Distinct words that a task counts before it hands them on.
-HELD_WORDS = 1 << 21
+HELD_WORDS = 1 << 19
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,16 +93,15 @@ def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = text_buffers(batch.column(1))
         toxic = batch.column(0).to_numpy()
-        for lo, hi in chunks(off, 1 << 22):
+        for lo, hi in chunks(off):
             w, first = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             v = np.empty_like(w)
             v[1:] = w[:-1]
             begins = first[:-1][np.diff(first) > 0]
             v[begins] = BEGIN
-            rows = np.empty(len(w), [("c", np.int32), ("v", np.uint64), ("w", np.uint64)])
-            rows["c"], rows["v"], rows["w"] = np.repeat(toxic[lo:hi], np.diff(first)), v, w
-            rows = np.unique(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["c"])), pa.array(np.ascontiguousarray(rows["v"]).view(np.int64)), pa.array(np.ascontiguousarray(rows["w"]).view(np.int64))], names=["toxic", "v", "w"])
+            c = np.repeat(toxic[lo:hi], np.diff(first)).astype(np.int32)
+            at = np.unique(mix(v + c.astype(np.uint64)) + w, return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64))], names=["toxic", "v", "w"])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:

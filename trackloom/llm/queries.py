@@ -95,6 +95,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP6 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 2 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM d, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), k AS (SELECT s, row_number() OVER (ORDER BY s) AS k FROM (SELECT s FROM sh GROUP BY s HAVING count(*) > 1)), e AS (SELECT doc_id, k FROM sh JOIN k USING (s)),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)), u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS comp FROM n UNION SELECT u.y, r.comp FROM r JOIN u ON r.node = u.x AND r.comp < u.y), m AS (SELECT node, min(comp) AS comp FROM r GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.comp, doc_id) AS component_id, coalesce(m.comp, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = doc_id
+"""
+
 _OP7 = r"""
 WITH l AS (SELECT doc_id, i, part, translate(regexp_replace(regexp_replace(part, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
@@ -118,4 +128,4 @@ SELECT doc_id, count(template) AS n_licenses, coalesce(string_agg(template, ','
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontam": _OP2, "op7_linededup": _OP7, "op8_licenses": _op8()}
+    return {"op2_decontam": _OP2, "op6_neardup": _OP6, "op7_linededup": _OP7, "op8_licenses": _op8()}

@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder where there is one; else as it is."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, match_id, frame, track_id, team, kind, x, y, k: one row per event."""
     e = table(spark, sf_dir, "events")

@@ -10,7 +10,7 @@ from trackloom.operators import events_a as E
 from trackloom.operators import joins as J
 from trackloom.operators import kernels as N
 from trackloom.operators import temporal as T
-from trackloom.plans.tracking import BALL, ROWS, ball, detections, table, track_points
+from trackloom.plans.tracking import BALL, ROWS, ball, detections, held, table, track_points
 from trackloom.queries.registry import query
 from trackloom.queries.tracking import boxes
 
@@ -49,8 +49,8 @@ def spells(spark: SparkSession, sf: str) -> DataFrame:
     return E.spells(ball(spark, sf), M, "owner", gap=12, least=1)
 
 
-def pair_events(spark: SparkSession, sf: str) -> DataFrame:
-    p = E.spell_pairs(spells(spark, sf), ball(spark, sf), M)
+def pair_events(spark: SparkSession, sf: str, own: DataFrame | None = None) -> DataFrame:
+    p = E.spell_pairs(spells(spark, sf) if own is None else own, ball(spark, sf), M)
     return E.classify_pairs(p, 2.0).where("kind is not null").select("match_id", "kind", "frame", "a", "b", "travelled", "progressive", "into_final_third")
 
 
@@ -66,20 +66,20 @@ def pass_network(spark: SparkSession, sf: str) -> DataFrame:
     return pair_events(spark, sf).where("kind = 'pass'").groupBy("a", "b").agg(F.count("*").alias("passes"), F.avg("travelled").alias("mean_m"), F.count_if("progressive").alias("progressive"))
 
 
-def duels(spark: SparkSession, sf: str) -> DataFrame:
-    return E.suppress_duels(pair_events(spark, sf), M, 2.0, 10.0)
+def duels(spark: SparkSession, sf: str, own: DataFrame | None = None) -> DataFrame:
+    return E.suppress_duels(pair_events(spark, sf, own), M, 2.0, 10.0)
 
 
-def struck(spark: SparkSession, sf: str) -> DataFrame:
-    return E.shots(spells(spark, sf), ball(spark, sf), M, 2.0, speed=1.0, min_x=0.0, margin=30.0)
+def struck(spark: SparkSession, sf: str, own: DataFrame | None = None) -> DataFrame:
+    return E.shots(spells(spark, sf) if own is None else own, ball(spark, sf), M, 2.0, speed=1.0, min_x=0.0, margin=30.0)
 
 
-def goals(spark: SparkSession, sf: str) -> DataFrame:
+def goals(spark: SparkSession, sf: str, struck: DataFrame, duels: DataFrame) -> DataFrame:
     """Goals with the last shot of the side within 60 frames before, and the last pass to that player within 60 frames before."""
     found = detections(spark, sf).where("kind = 'error'").select("match_id", "event_id", "team", "frame")
-    by = struck(spark, sf).select("match_id", "team", "frame", F.col("player").alias("scorer"))
+    by = struck.select("match_id", "team", "frame", F.col("player").alias("scorer"))
     g = J.last_before(found, by, ["match_id", "team"], "frame", 60, ["event_id"]).drop("found_frame")
-    given = duels(spark, sf).where("kind = 'pass'").select("match_id", F.col("b").alias("scorer"), "frame", F.col("a").alias("assist"))
+    given = duels.where("kind = 'pass'").select("match_id", F.col("b").alias("scorer"), "frame", F.col("a").alias("assist"))
     return J.last_before(g, given, ["match_id", "scorer"], "frame", 60, ["event_id"]).select("match_id", "event_id", "team", "frame", "scorer", "assist")
 
 
@@ -110,11 +110,14 @@ def shots(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_GOALS} SELECT match_id, event_id, scorer, assist FROM go")
 def goal_credits(spark: SparkSession, sf: str) -> DataFrame:
     """Who scored, and who passed to the scorer."""
-    return goals(spark, sf).select("match_id", "event_id", "scorer", "assist")
+    own = held(spells(spark, sf))
+    return goals(spark, sf, struck(spark, sf, own), duels(spark, sf, own)).select("match_id", "event_id", "scorer", "assist")
 
 
 def player_sums(spark: SparkSession, sf: str) -> DataFrame:
-    return E.tallies(spells(spark, sf), duels(spark, sf), struck(spark, sf), goals(spark, sf), M, 2.0)
+    own = held(spells(spark, sf))
+    turns, hit = held(duels(spark, sf, own)), held(struck(spark, sf, own))
+    return E.tallies(own, turns, hit, goals(spark, sf, hit, turns), M, 2.0)
 
 
 @query(f"WITH RECURSIVE {_TALLY} SELECT match_id, player, {_SUMS} FROM ra GROUP BY match_id, player")
@@ -135,7 +138,8 @@ SELECT match_id, coalesce(l, 0) AS "left", coalesce(r, 0) AS "right", CASE WHEN
 def goal_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Goals of the footage and the source of the score."""
     d = detections(spark, sf)
-    return E.score_of_goals(goals(spark, sf), d.select("match_id").distinct(), d.where("k % 50 = 0").select("match_id"), M)
+    own = held(spells(spark, sf))
+    return E.score_of_goals(goals(spark, sf, struck(spark, sf, own), duels(spark, sf, own)), d.select("match_id").distinct(), d.where("k % 50 = 0").select("match_id"), M)
 
 
 @query(f"WITH {ROWS}, b0 AS (SELECT match_id, frame, event_id, CASE WHEN k % 7 <> 0 THEN k % 4 END AS home, k % 3 AS away FROM d WHERE kind = 'click'), r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame DESC, event_id) AS rn FROM b0) SELECT match_id, coalesce(home, 0) AS home, coalesce(away, 0) AS away, frame FROM r WHERE rn = 1")

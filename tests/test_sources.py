@@ -133,6 +133,19 @@ def test_caches_manifests_and_runs(spark, tmp_path):
     assert flat.columns == ["id", "passing_total"]
 
 
+def test_report_csv_and_chunks_that_come_again(spark, tmp_path):
+    from trackloom.streaming import online
+
+    W.write_report_csv(spark.createDataFrame([(1, (2, "s"))], "id int, passing struct<total int, source string>"), str(tmp_path / "csv"))
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "csv"))) == [("1", "2")]
+    write = online.upsert_chunks(str(tmp_path / "chunks"), ["id"], "chunk")
+    chunk = lambda *r: spark.createDataFrame(r, "id int, chunk int, v int")
+    write(chunk((1, 0, 5), (2, 0, 6)), 0)
+    write(chunk((3, 1, 7)), 1)
+    write(chunk((2, 0, 9), (2, 0, 9)), 2)  # a chunk that is sent again replaces itself
+    assert rows(spark.read.parquet(str(tmp_path / "chunks")), "id", "v") == [(1, 5), (2, 9), (3, 7)]
+
+
 def test_streams_retry_and_progress(spark):
     from trackloom.streaming import online
 

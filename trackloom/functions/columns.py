@@ -54,12 +54,6 @@ def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
 
 
-def progress_to_goal(x0: Column, y0: Column, x1: Column, y1: Column, sign: Column) -> Column:
-    """Metres won towards the middle of the attacked goal."""
-    goal = sign * HALF_LENGTH
-    return distance(x0, y0, goal, F.lit(0.0)) - distance(x1, y1, goal, F.lit(0.0))
-
-
 def goal_line_offset(x0: Column, y0: Column, x1: Column, y1: Column, sign: Column) -> Column:
     """Where a straight line meets the goal line: |y|; NULL unless it moves towards the goal."""
     dx = (x1 - x0) * sign

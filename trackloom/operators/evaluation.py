@@ -200,6 +200,12 @@ def log_figures(lines: DataFrame) -> DataFrame:
     return per.groupBy("figure").agg(F.count("*").alias("runs"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread"))
 
 
+def type_statistics(events: DataFrame, kind: str, accepted: Column) -> DataFrame:
+    """kind, n, accepted, coverage (the share accepted) by type; what was not accepted stays in the denominator only."""
+    ok = F.count_if(accepted)
+    return events.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), ok.alias("accepted"), (ok / F.count("*")).alias("coverage"))
+
+
 # ------------------------------------------------------------------ teams by colour and looks
 def colour_teams(rows: DataFrame, keys: Keys, ident: str = "id") -> DataFrame:
     """keys, id, team: the two commonest colours of a frame are teams 0 and 1; the others join the team whose mean vector is nearer (1 on ties), if both teams have one.

@@ -27,6 +27,12 @@ def confident(df: DataFrame, floors: Mapping[str, float], kind: str = "label", s
     return df.where(F.col(score) >= F.element_at(floor, F.col(kind)))
 
 
+def small_tracks_as(df: DataFrame, keys: Keys, below: float = 800.0, role: str = "ball", column: str = "role") -> DataFrame:
+    """Rows of tracks whose mean box area is below a bound get another role."""
+    area = F.avg(F.col("w") * F.col("h")).over(Window.partitionBy(*keys))
+    return df.withColumn("_area", area).withColumn(column, F.when(F.col("_area") < below, role).otherwise(F.col(column))).drop("_area")
+
+
 def strided(df: DataFrame, stride: int, frame: str = "frame") -> DataFrame:
     return df.where(F.col(frame) % stride == 0)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Keys = Sequence[str]
@@ -133,6 +133,20 @@ def compare(before: DataFrame, after: DataFrame, keys: Keys, cols: Keys) -> Data
     return both.select(*keys, status.alias("status"), F.when(status == "changed", F.concat_ws(",", changed)).otherwise("").alias("fields"))
 
 
+def located(events: DataFrame, places: DataFrame, keys: Keys, actor: str, frame: str, target: str, arrival: str) -> DataFrame:
+    """events with from_x, from_y (the actor at its frame) and to_x, to_y (the target at its arrival), NULL where not seen. places: keys, track_id, frame, x, y, one row each."""
+    at = lambda who, when, tag: places.select(*keys, F.col("track_id").alias(who), F.col("frame").alias(when), F.col("x").alias(f"{tag}_x"), F.col("y").alias(f"{tag}_y"))
+    return events.join(at(actor, frame, "from"), [*keys, actor, frame], "left").join(at(target, arrival, "to"), [*keys, target, arrival], "left")
+
+
+def first_of(tables: list[DataFrame], keys: Keys, source: str = "src") -> DataFrame:
+    """Keys of several tables, once each, with the number of the first table that has them."""
+    from functools import reduce
+
+    rows = [t.select(*keys, F.lit(k).alias(source)) for k, t in enumerate(tables)]
+    return reduce(DataFrame.unionByName, rows).groupBy(*keys).agg(F.min(source).alias(source))
+
+
 def repeated_keys(df: DataFrame, keys: Keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

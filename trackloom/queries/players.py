@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import columns as X
+from trackloom.operators import filters as K
 from trackloom.operators import identity as I
 from trackloom.operators import joins as J
 from trackloom.plans.tracking import ROWS, detections, table
@@ -93,21 +94,17 @@ SELECT track_id, CASE WHEN score >= 2 THEN side ELSE team END AS team FROM t LEF
 def squad_correction(spark: SparkSession, sf: str) -> DataFrame:
     """A side corrected by numbers that only one squad has, if they score at least two."""
     d, region = detections(spark, sf), F.col("n_regionkey")
-    side = F.when(region == 0, "left").when(region == 2, "right")
-    only = table(spark, sf, "nation").select(F.col("n_nationkey").alias("number"), side.alias("side")).where("side is not null")
-    v = d.groupBy("track_id", (F.col("k") % 25).alias("number")).agg(F.count("*").alias("n")).join(F.broadcast(only), "number").groupBy("track_id", "side").agg(F.sum("n").alias("score"))
-    rk = F.row_number().over(Window.partitionBy("track_id").orderBy(F.col("score").desc(), "side"))
-    best = v.withColumn("rk", rk).where("rk = 1")
-    return d.select("track_id", "team").distinct().join(best, "track_id", "left").select("track_id", F.when(F.col("score") >= 2, F.col("side")).otherwise(F.col("team")).alias("team"))
+    sides = F.array_compact(F.array(F.when(region.isin(0, 1), "left"), F.when(region.isin(1, 2), "right")))
+    squads = table(spark, sf, "nation").select(F.col("n_nationkey").alias("number"), F.explode(sides).alias("team"))
+    votes = d.groupBy("track_id", (F.col("k") % 25).alias("number")).agg(F.count("*").alias("n"))
+    return I.sides_by_squads(d.select("track_id", "team").distinct(), votes, squads, ["track_id"])
 
 
 @query(f"""WITH {ROWS}, b AS (SELECT track_id, event_id, kind, avg((10.0 + k % 30) * (20.0 + k % 20)) OVER (PARTITION BY track_id) AS area, k FROM d WHERE 10 + k % 30 >= 12 AND x >= -51.5) SELECT event_id, CASE WHEN area < 740 THEN 'ball' ELSE kind END AS role FROM b WHERE k % 2 = 0""")
 def ball_relabel(spark: SparkSession, sf: str) -> DataFrame:
     """Sane boxes; tracks of small mean area become the ball; every second row."""
-    w, h = F.col("k") % 30 + 10.0, F.col("k") % 20 + 20.0
-    sane = detections(spark, sf).where((w >= 12) & (F.col("x") >= -51.5))
-    area = F.avg(w * h).over(Window.partitionBy("track_id"))
-    return sane.withColumn("area", area).where("k % 2 = 0").select("event_id", F.when(F.col("area") < 740, "ball").otherwise(F.col("kind")).alias("role"))
+    d = detections(spark, sf).select("event_id", "track_id", "k", F.col("kind").alias("role"), (F.col("x") + 52.5).alias("x"), F.lit(1.0).alias("y"), (F.col("k") % 30 + 10.0).alias("w"), (F.col("k") % 20 + 20.0).alias("h"))
+    return K.strided(K.small_tracks_as(K.sane_boxes(d, least_side=12.0), ["track_id"], 740.0), 2, "k").select("event_id", "role")
 
 
 @query(f"""WITH {ROWS}, e AS (SELECT track_id, frame, arg_min(k, event_id) AS v FROM d WHERE kind = 'click' GROUP BY ALL), f AS (SELECT track_id, arg_min(k, event_id) AS v FROM d WHERE kind = 'click' GROUP BY ALL) SELECT d.event_id, coalesce(e.v, f.v) AS v FROM d LEFT JOIN e USING (track_id, frame) LEFT JOIN f ON f.track_id = d.track_id""")
@@ -123,11 +120,9 @@ SELECT event_id, a.x AS from_x, a.y AS from_y, b.x AS to_x, b.y AS to_y FROM e L
 def location_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Where the actor stood, and the recipient on arrival."""
     d = detections(spark, sf)
-    p = d.groupBy("match_id", "track_id", "frame").agg(F.min_by(F.struct("x", "y"), "event_id").alias("p"))
-    e = d.where("kind = 'click'").select("event_id", "match_id", "track_id", "frame", (F.col("frame") + F.round(F.col("k") % 7 * 0.9).cast("long")).alias("arrive"))
-    a = e.join(p.withColumnRenamed("p", "a"), ["match_id", "track_id", "frame"], "left")
-    b = a.join(p.select("match_id", "track_id", F.col("frame").alias("arrive"), F.col("p").alias("b")), ["match_id", "track_id", "arrive"], "left")
-    return b.select("event_id", F.col("a.x").alias("from_x"), F.col("a.y").alias("from_y"), F.col("b.x").alias("to_x"), F.col("b.y").alias("to_y"))
+    p = d.groupBy("match_id", "track_id", "frame").agg(F.min_by(F.struct("x", "y"), "event_id").alias("p")).select("match_id", "track_id", "frame", "p.*")
+    e = d.where("kind = 'click'").select("event_id", "match_id", F.col("track_id").alias("actor"), "frame", F.col("track_id").alias("target"), (F.col("frame") + F.round(F.col("k") % 7 * 0.9).cast("long")).alias("arrive"))
+    return J.located(e, p, ["match_id"], "actor", "frame", "target", "arrive").select("event_id", "from_x", "from_y", "to_x", "to_y")
 
 
 @query(f"""WITH {ROWS}, s AS (SELECT track_id, string_agg(frame || ':' || kind, ' ' ORDER BY match_id, frame, event_id) AS timeline, count(*) AS n FROM d WHERE kind NOT IN ('signup') GROUP BY track_id), a AS (SELECT DISTINCT track_id FROM d) SELECT track_id, coalesce(n, 0) AS n, coalesce(timeline, '') AS timeline FROM a LEFT JOIN s USING (track_id)""")

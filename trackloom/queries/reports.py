@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import columns as X
 from trackloom.operators import aggregates as A
+from trackloom.operators import evaluation as E
+from trackloom.operators import identity as I
 from trackloom.operators import joins as J
 from trackloom.plans.tracking import ROWS, detections, table
 from trackloom.queries.registry import query
@@ -87,16 +89,8 @@ SELECT id % 20 AS track, number, sum(readable) AS mass FROM n GROUP BY ALL""")
 def digit_votes(spark: SparkSession, sf: str) -> DataFrame:
     """Votes from two digit readings."""
     p = F.col("p_partkey")
-    number = X.two_digits((p * 7) % 11, (p * 3) % 11)
-    return table(spark, sf, "part").select((p % 20).alias("track"), number.alias("number"), (0.5 + (p % 50) / 100.0).alias("r")).groupBy("track", "number").agg(F.sum("r").alias("mass"))
-
-
-@query("""WITH r AS (SELECT s_suppkey AS number, s_nationkey AS team FROM supplier), s AS (SELECT l_suppkey AS number, count(*) AS seen FROM lineitem WHERE l_linenumber = 7 GROUP BY l_suppkey) SELECT number, team, seen IS NOT NULL AS found, coalesce(seen, 0) AS seen FROM r LEFT JOIN s USING (number)""")
-def roster_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Roster members found or missing among what was seen."""
-    seen = table(spark, sf, "lineitem").where("l_linenumber = 7").groupBy(F.col("l_suppkey").alias("number")).agg(F.count("*").alias("seen"))
-    r = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("number"), F.col("s_nationkey").alias("team"))
-    return r.join(seen, "number", "left").select("number", "team", F.col("seen").isNotNull().alias("found"), F.coalesce("seen", F.lit(0)).alias("seen"))
+    reads = table(spark, sf, "part").select((p % 20).alias("track"), ((p * 7) % 11).alias("tens"), ((p * 3) % 11).alias("units"), (0.5 + (p % 50) / 100.0).alias("readable"))
+    return I.digit_mass(reads, ["track"])
 
 
 @query("""SELECT p_partkey, CASE WHEN lower(p_brand) LIKE '%none%' OR lower(p_brand) LIKE '%no %' THEN NULL ELSE CAST(nullif(regexp_extract(p_brand, '(\\d{1,2})', 1), '') AS INTEGER) END AS number, 'gp_' || substr(sha256(CAST(p_partkey AS VARCHAR) || '|' || p_brand), 1, 12) AS gid, CASE WHEN lower(trim(p_brand)) IN ('', 'nan', '100') THEN NULL ELSE trim(p_brand) END AS clean, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS padded FROM part""")
@@ -108,8 +102,7 @@ def text_columns(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT o_orderpriority AS kind, count(*) AS n, count(*) FILTER (o_orderstatus <> 'P') AS accepted, count(*) FILTER (o_orderstatus <> 'P') / count(*) AS coverage FROM orders GROUP BY o_orderpriority""")
 def semantic_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per type, accepted ones, and coverage."""
-    ok = F.count_if(F.col("o_orderstatus") != "P")
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"), ok.alias("accepted"), (ok / F.count("*")).alias("coverage"))
+    return E.type_statistics(table(spark, sf, "orders"), "o_orderpriority", F.col("o_orderstatus") != "P")
 
 
 @query("""SELECT l_suppkey AS source, l_partkey % 100 AS target, count(*) AS passes, CASE WHEN count(CASE WHEN l_returnflag <> 'N' THEN 1 END) = count(*) THEN count(*) FILTER (l_returnflag = 'A') END AS completed FROM lineitem GROUP BY ALL""")

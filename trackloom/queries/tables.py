@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators import aggregates as A
 from trackloom.operators import joins as J
 from trackloom.operators import validate as C
 from trackloom.plans.tracking import ROWS, detections, table
@@ -43,15 +44,14 @@ def newest_jobs(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH t AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rk FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM t WHERE rk <= 5")
 def top_per_group(spark: SparkSession, sf: str) -> DataFrame:
     """The five largest per group."""
-    rk = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber"))
-    return table(spark, sf, "lineitem").withColumn("rk", rk).where("rk <= 5").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    return A.top_k(table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice"), ["l_suppkey"], order, 5).select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @query("WITH t AS (SELECT o_custkey AS id, 0 AS src FROM orders UNION ALL SELECT c_custkey, 1 FROM customer), f AS (SELECT id, min(src) AS src FROM t GROUP BY id) SELECT * FROM f")
 def joined_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Union by id, first occurrence wins."""
-    u = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.lit(0).alias("src")).unionByName(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("src")))
-    return u.groupBy("id").agg(F.min("src").alias("src"))
+    return J.first_of([table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))], ["id"])
 
 
 @query("WITH p AS (SELECT n_nationkey AS pid, 'a' AS src FROM nation UNION ALL SELECT n_nationkey + 25, 'b' FROM nation WHERE n_regionkey <> 2) SELECT pid, src, CAST(dense_rank() OVER (ORDER BY pid) - 1 AS INTEGER) AS label FROM p")

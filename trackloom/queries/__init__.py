@@ -8,7 +8,7 @@ from trackloom.queries.registry import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from trackloom.queries import audit, filters, fragments, ledger, matchreport, more, players, reports, retrieval, tables, tracking  # noqa: F401
+    from trackloom.queries import audit, filters, forms, fragments, ledger, matchreport, more, players, reports, retrieval, tables, tracking  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

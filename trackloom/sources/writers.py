@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -71,7 +71,8 @@ def write_report_csv(df: DataFrame, path: str) -> None:
 
 def tracking_lines(df: DataFrame, digits: int = 2, with_score: bool = True) -> DataFrame:
     """One text line per detection with track_id >= 0: frame,id,x,y,w,h,score,-1,-1,-1."""
-    number = lambda c: F.format_string(f"%.{digits}f", F.col(c).cast("double"))
+    scale = float(10**digits)  # half up in floating-point steps, so that the text is the same in any engine
+    number = lambda c: F.format_string(f"%.{digits}f", F.floor(F.col(c).cast("double") * scale + 0.5) / scale)
     score = number("score") if with_score else F.lit("-1")
     line = F.concat_ws(",", F.col("frame").cast("string"), F.col("track_id").cast("string"), *[number(c) for c in "xywh"], score, F.lit("-1"), F.lit("-1"), F.lit("-1"))
     return df.where("track_id >= 0").select(line.alias("value"))
@@ -102,9 +103,14 @@ def timeline(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys, "frame").agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
 
+def content_key(columns: Sequence[str]) -> Column:
+    """SHA-256 of the JSON of columns in the order of their names."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
 def cache_key(df: DataFrame, name: str = "key") -> DataFrame:
-    """SHA-256 of the JSON of all columns in the order of their names."""
-    return df.withColumn(name, F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256))
+    """df with the key of all its columns."""
+    return df.withColumn(name, content_key(df.columns))
 
 
 def not_cached(requests: DataFrame, cache: DataFrame, name: str = "key") -> DataFrame:

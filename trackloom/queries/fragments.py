@@ -83,10 +83,22 @@ def keeper_tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_TR} SELECT match_id, track_id, role FROM kt")
 def demoted_keepers(spark: SparkSession, sf: str) -> DataFrame:
-    """Goalkeepers that stand in midfield are players."""
+    """Goalkeepers that stand in midfield are players."""
     return keeper_tracks(spark, sf).select("match_id", "track_id", "role")
 
 
+@query(f"""WITH {ROWS}, ks AS (SELECT match_id, track_id, median(x) AS mx, CASE WHEN track_id % 10 = 1 THEN 'goalkeeper' WHEN track_id % 14 = 2 THEN 'referee' ELSE 'player' END AS r0, CASE WHEN track_id % 11 <> 3 THEN track_id % 2 END AS cluster, count(*) AS n FROM d GROUP BY match_id, track_id), t AS (SELECT *, CASE WHEN r0 = 'goalkeeper' AND abs(mx) < 25 THEN 'player' ELSE r0 END AS role FROM ks),
+v AS (SELECT match_id, count(*) FILTER (track_id % 2 = 0) AS v0, count(*) FILTER (track_id % 2 = 1) AS v1 FROM d WHERE match_id % 3 <> 0 AND k % 7 = 0 GROUP BY match_id), x AS (SELECT match_id, sum(mx * n) FILTER (cluster = 0) / sum(n) FILTER (cluster = 0) AS x0, sum(mx * n) FILTER (cluster = 1) / sum(n) FILTER (cluster = 1) AS x1 FROM t WHERE role = 'player' AND cluster IS NOT NULL GROUP BY match_id),
+l AS (SELECT m.match_id, CASE WHEN coalesce(v0, 0) > coalesce(v1, 0) THEN 0 WHEN coalesce(v1, 0) > coalesce(v0, 0) THEN 1 WHEN x1 < x0 THEN 1 ELSE 0 END AS lft FROM (SELECT DISTINCT match_id FROM d) m LEFT JOIN v USING (match_id) LEFT JOIN x USING (match_id))
+SELECT match_id, track_id, role, CASE WHEN role = 'goalkeeper' THEN CASE WHEN mx < 0 THEN 'left' ELSE 'right' END WHEN role <> 'player' THEN NULL WHEN cluster IS NOT NULL THEN CASE WHEN cluster = lft THEN 'left' ELSE 'right' END WHEN abs(mx) >= 25 THEN CASE WHEN mx < 0 THEN 'left' ELSE 'right' END END AS team FROM t JOIN l USING (match_id)""")
+def sides_of_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Sides by the vote of the last defenders, else by where the kits stand; goalkeepers by their goal."""
+    d, t = detections(spark, sf), F.col("track_id")
+    tracks = d.groupBy("match_id", "track_id").agg(F.median("x").alias("median_x"), F.count("*").alias("n")).withColumn("role", F.when(t % 10 == 1, "goalkeeper").when(t % 14 == 2, "referee").otherwise("player")).withColumn("cluster", F.when(t % 11 != 3, t % 2))
+    votes = d.where("match_id % 3 <> 0 and k % 7 = 0").groupBy("match_id", (t % 2).alias("cluster")).agg(F.count("*").alias("n"))
+    return K.sides_of_tracks(tracks, votes, M)
+
+
 @query(f"""WITH {_TR}, t AS (SELECT *, CASE WHEN track_id % 6 <> 0 THEN CAST(track_id % 40 AS VARCHAR) END AS number, track_id % 4 AS votes, CASE WHEN track_id % 9 = 0 THEN track_id - 9 END AS root FROM kt),
 r AS (SELECT event_id, d.match_id, d.track_id, CASE WHEN k % 13 = 0 THEN 'ball' WHEN k % 5 = 0 THEN 'goalkeeper' ELSE 'player' END AS r0, CASE WHEN k % 6 <> 0 THEN d.team END AS t0, CASE WHEN k % 3 <> 0 THEN CAST(k % 40 AS VARCHAR) END AS n0, t.role, t.team, t.number, t.votes, t.root FROM d JOIN t USING (match_id, track_id)),
 a AS (SELECT *, CASE WHEN r0 IN ('player', 'goalkeeper', 'referee') THEN role ELSE r0 END AS r1, role IN ('player', 'goalkeeper') AS ours FROM r), b AS (SELECT *, CASE WHEN ours THEN team ELSE t0 END AS t1, CASE WHEN ours AND r1 = 'player' AND number IS NOT NULL AND (n0 IS NOT NULL OR votes > 0) THEN number WHEN ours AND r1 = 'player' AND number IS NULL AND n0 IS NOT NULL THEN NULL ELSE n0 END AS n1 FROM a)

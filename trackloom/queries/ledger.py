@@ -338,14 +338,14 @@ def linear_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def kit_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Weighted two-means on descriptors."""
+    """Weighted two-means on descriptors."""
     d = detections(spark, sf).groupBy("match_id", "track_id").agg(F.avg("x").alias("l"), F.avg("y").alias("a"), (F.avg("k") + F.when(F.col("track_id") % 2 == 0, 500).otherwise(0)).alias("b"), F.count("*").cast("double").alias("w"))
     return N.cluster_kits(d, M, ["l", "a", "b"], "w")
 
 
 @query(None)
 def identity_solver(spark: SparkSession, sf: str) -> DataFrame:
-    """Tracks merged by appearance unless sides or times forbid it."""
+    """Tracks merged by appearance, best pairs first, unless sides or times forbid it."""
     d = detections(spark, sf).groupBy("match_id", "track_id", "team").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.avg("x").alias("v0"), F.avg("y").alias("v1"), F.avg("k").alias("v2"))
     return N.solve_identities(d, M, vector=["v0", "v1", "v2"])
 

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text handled at once inside a task; one longer document is handled alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text handled at once inside a task, so that the arrays over them stay in the cache; one longer document is handled alone.
+CHUNK_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- work tables

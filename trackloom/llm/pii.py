@@ -259,7 +259,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     t = F.col("text")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    found = F.when(t.rlike("[0-9@]|[A-Fa-f]{32}"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     cut = rows.select("doc_id", "text", F.coalesce(found, F.array().cast("array<string>")).alias("old"))
     new = cut.select("doc_id", "text", "old", F.transform("old", lambda v: pseudonym(v, key)).alias("new"))
     pieces = F.zip_with(F.split(t, ANY, -1), F.col("new"), lambda p, n: F.concat(F.coalesce(p, F.lit("")), F.coalesce(n, F.lit(""))))

@@ -320,8 +320,10 @@ def test_token_files_hold_what_the_library_encodes(spark, docs, none, tmp_path):
     assert got == sorted(want)
     path = f"file://{tmp_path}/shards"
     tokens.write_token_shards(both, path, file, 1, shards=3)
-    files = tokens.export_shards(spark, path, str(tmp_path / "out"))
-    assert files == sorted(files) and sum(len(open(f, "rb").read()) for f in files) > 0
+    files = tokens.export_shards(spark, path, f"file://{tmp_path}/out")
+    raw = b"".join((tmp_path / "out" / f).read_bytes() for f in files)
+    stored = spark.read.parquet(path).orderBy("shard", "segment").collect()
+    assert files and raw == b"".join(bytes(r["payload"]) for r in stored) and len(list((tmp_path / "out").glob("*.s8b*"))) == len(files)
     assert tokens.token_output(none, file).count() == 0
 
 

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +169,7 @@ class WordTokenizer:
     PROBES = ("a", "a b", "a  b", " a", "a ", "a\tb\nc", "\n\na\n", "it's a 'b' c", "x ! y", "x, y. z", "1 2 3 456 7", "A b C", "\u00e9 e \u00e9", "\u4e2d \u6587 a", "a - b -- c", "the the the", "http://a.b c@d.e")
     FIRST_ROWS, FIRST_BYTES = 32, 1 << 15
 
-    CACHE_WORDS = 3_000_000
+    CACHE_WORDS = 2_000_000
     apart = "a"  # stands in for words that hold a special token, which are encoded alone
 
     def __init__(self, file: str):
@@ -310,7 +309,7 @@ def _packer(tokenizer_file: str, end_id: int):
 
         for batch in batches:
             data, off = text_buffers(batch.column(1))
-            for lo, hi in chunks(off, 1 << 22):
+            for lo, hi in chunks(off, 1 << 20):
                 ids, n = tok(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 # the end id goes behind each document
                 ends = np.cumsum(n)
@@ -380,17 +379,46 @@ def read_token_shards(spark, path: str) -> DataFrame:
     return docs.join(first, ["shard", "segment"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard", "segment")
 
 
+def _exporter(folder: str):
+    def export(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder)
+        attempt, current, out, size = TaskContext.get().taskAttemptId(), None, None, 0
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            store.move(f"{name(current)}.{attempt}", name(current))  # whole files only, whichever attempt comes first
+            return pa.RecordBatch.from_arrays([pa.array([f"shard-{current:06d}.s8b"]), pa.array([size], pa.int64())], names=["file", "bytes"])
+
+        def name(shard: int) -> str:
+            return f"{root}/shard-{shard:06d}.s8b"
+
+        for batch in batches:
+            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != current:
+                    if out is not None:
+                        yield close()
+                    current, size = shard, 0
+                    out = store.open_output_stream(f"{name(shard)}.{attempt}")
+                out.write(payload.as_buffer())
+                size += len(payload.as_buffer())
+        if out is not None:
+            yield close()
+
+    return export
+
+
 def export_shards(spark, path: str, folder: str) -> list[str]:
-    """Write each shard as a plain file of concatenated segments, one segment in memory at a time."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    done: list[str] = []
-    for r in spark.read.parquet(path).select("shard", "segment", "payload").orderBy("shard", "segment").toLocalIterator():
-        f = f"{folder}/shard-{r['shard']:06d}.s8b"
-        with open(f, "ab" if done and done[-1] == f else "wb") as out:
-            out.write(r["payload"])
-        if not done or done[-1] != f:
-            done.append(f)
-    return done
+    """Write each shard as a plain file of concatenated segments below a folder (a URI) that the executors share; the names, in order.
+
+    Tasks write their shards under a name of their own attempt and move them when they are whole.
+    """
+    rows = spark.read.parquet(path)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))
+    dealt = rows.select("shard", "segment", "payload").repartition("shard").sortWithinPartitions("shard", "segment").select("shard", "payload")
+    return sorted(r["file"] for r in dealt.mapInArrow(_exporter(folder), "file string, bytes bigint").collect())
 
 
 def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

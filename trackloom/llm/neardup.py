@@ -50,7 +50,7 @@ GROUP = 512
 #: One-bit minima of nodes that are compared in cells, and the least estimate from them: 5.3 deviations (of 2 * sqrt(0.9 * 0.1 / 1024)) below 0.8.
 BITS, NEAR = 1024, 0.70
 #: Nodes on either side of a cell, about; pairs that a task looks at together.
-CELL, SLICE = 512, 1 << 20
+CELL, SLICE = 512, 1 << 17
 
 _draw = np.random.Generator(np.random.PCG64(7))
 _A = _draw.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -289,8 +289,8 @@ def _cells(num: int, den: int):
             needed = -(-num * (n[x] + n[y]).astype(np.int64) // (den + num))
             ok = (c[x] != c[y]) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= needed) & (np.minimum(n[x], n[y]) >= needed)
             x, y = x[ok], y[ok]
-            for a in range(0, len(x), SLICE // 8):
-                p, q = x[a : a + SLICE // 8], y[a : a + SLICE // 8]
+            for a in range(0, len(x), SLICE // 4):
+                p, q = x[a : a + SLICE // 4], y[a : a + SLICE // 4]
                 same = BITS - np.bitwise_count(words[p] ^ words[q]).sum(1, dtype=np.int64)
                 near = 2 * same / BITS - 1 >= NEAR
                 if near.any():

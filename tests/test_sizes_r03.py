@@ -62,3 +62,26 @@ def test_silhouette_on_the_circle_is_that_of_all_pairs(seed):
     began = time.process_time()
     K.silhouette(np.repeat(x, 60000 // len(x) + 1, axis=0), np.repeat(label, 60000 // len(x) + 1))
     assert time.process_time() - began < 1
+
+
+def test_box_suppression_of_odd_rows_is_that_of_its_sql(spark, tmp_path):
+    """Unknown times, values and counts, and boxes that share just three tenths."""
+    import duckdb
+    from test_queries import normal
+
+    from trackloom.queries import all_oracles, all_queries
+
+    con = duckdb.connect()
+    con.sql("create table events as select event_id, case when event_id % 9 <> 4 then ts end as ts, user_id, event_type, case when event_id % 7 = 3 then null when event_id % 2 = 0 then event_id % 13 * 490 / 105.0 + event_id * 1e-7 else value end as value, case when event_id % 11 = 5 then null else props end as props from '/root/testdata/sf0.001/events.parquet'")
+    con.sql("insert into events select event_id + 1000000, ts + interval 1 second, user_id, event_type, value + (event_id % 40 + 1) * 490 / 105.0 * 0.5, props from events where ts is not null and value is not null")
+    con.sql(f"copy events to '{tmp_path}/events.parquet'")
+    got, want = all_queries()["box_suppression"](spark, str(tmp_path)).toPandas(), con.sql(all_oracles()["box_suppression"]).df()
+    assert normal(got) == normal(want)
+
+
+def test_boxes_are_compared_as_in_sql():
+    box = np.array([[0.0, 0.0, 1.3, 1.0], [0.7, 0.0, 1.3, 1.0], [np.nan, 0.0, 1.0, 1.0], [5.0, 0.0, np.nan, 1.0]])
+    both = (1.3 - 0.7) * 1.0
+    goes = both > both / (2.6 - both) * (2.6 - both)
+    assert N.suppress(box[:2], np.array([2.0, 1.0]), both / (2.6 - both)).tolist() == ([0] if goes else [0, 1])
+    assert N.suppress(box[[0, 2, 3]], np.array([3.0, 2.0, 1.0]), 0.3).tolist() == [0, 2]

@@ -102,3 +102,19 @@ def test_matches_of_a_block_come_to_the_driver_as_arrow(spark, monkeypatch):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 30 * 749 and most < 6_000_000
+
+
+def test_hits_are_counted_before_they_become_a_row_a_threshold(spark):
+    from trackloom.queries.audit import box_average_precision
+
+    plan = box_average_precision(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(hits" not in plan and "Sort [id" not in plan
+
+
+def test_of_equal_overlaps_the_first_truth_by_id_is_taken(spark):
+    from trackloom.operators import evaluation as E
+
+    found = spark.createDataFrame([(1, "a", 1, 0.9, 10.0, 0.0, 10.0, 10.0), (1, "a", 2, 0.8, 12.5, 0.0, 10.0, 10.0)], "image long, label string, id long, score double, bx double, by double, bw double, bh double")
+    truth = spark.createDataFrame([(1, "a", 9, 12.0, 0.0, 10.0, 10.0), (1, "a", 3, 8.0, 0.0, 10.0, 10.0)], "image long, label string, id long, bx double, by double, bw double, bh double")
+    got = {r["id"]: r["hits"][0] for r in E.box_hits(found, truth).collect()}
+    assert got == {1: True, 2: True}

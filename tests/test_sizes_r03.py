@@ -118,3 +118,28 @@ def test_of_equal_overlaps_the_first_truth_by_id_is_taken(spark):
     truth = spark.createDataFrame([(1, "a", 9, 12.0, 0.0, 10.0, 10.0), (1, "a", 3, 8.0, 0.0, 10.0, 10.0)], "image long, label string, id long, bx double, by double, bw double, bh double")
     got = {r["id"]: r["hits"][0] for r in E.box_hits(found, truth).collect()}
     assert got == {1: True, 2: True}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_candidates_that_are_not_held_give_the_same_links(seed):
+    from trackloom.operators.identity import near_pairs, near_roots, roots_of
+
+    r = np.random.default_rng(seed)
+    n = 60 + 100 * seed
+    start = r.integers(0, 1440, n)
+    end, first, last = start + r.integers(0, 200, n), r.integers(-20, 20, (n, 2)).astype(float), r.integers(-20, 20, (n, 2)) + r.integers(0, 2, (n, 1)) * 0.25
+    a, b, cost = near_pairs(start, end, first, last, 400, 5.0)
+    every = A.Near(start, end, first, last, 400, 5.0, 500)
+    assert sorted((int(i), int(j)) for p, q, _ in every.pairs(np.arange(n)) for i, j in zip(p, q, strict=True)) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+    cost_of, sums = dict(zip(zip(a.tolist(), b.tolist(), strict=True), cost.tolist(), strict=True)), []
+    for to in (A.assigned_pairs(n, n, a, b, cost, 1e6), A.assigned_near(n, every)):
+        on = np.flatnonzero(to >= 0)
+        assert len(set(to[on].tolist())) == len(on)
+        sums.append((len(on), round(sum(cost_of[i, int(to[i])] for i in on.tolist()), 6)))
+    assert sums[0] == sums[1]
+    one = roots_of(n, a, b, cost)
+    for held in (0, 1 << 25):
+        two = near_roots(start, end, first, last, 400, 5.0, few=0, held=held)
+        assert (one == np.arange(n)).sum() == (two == np.arange(n)).sum()
+    every.hold()
+    assert sorted((int(i), int(j)) for p, q, _ in every.pairs(np.arange(n)[::-1]) for i, j in zip(n - 1 - p, q, strict=True)) == sorted(zip(a.tolist(), b.tolist(), strict=True))
